@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
 from .media import op10_media
+from .quality import op2_quality
 from .secrets import op4_secrets
+from .toxicity import op1_toxicity
 from .urls import op6_urls
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
     "op6_urls": op6_urls,
+    "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
 }
 ORACLES: dict[str, str] = {}
