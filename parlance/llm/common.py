@@ -118,3 +118,13 @@ def spans_where(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
     after[cut] = False
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(starts, bounds)
+
+
+def shared_folder(spark: SparkSession) -> None:
+    """Where checkpoint() writes: the session's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
+
+def eq(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
+from .lines import op8_lines
 from .media import op10_media
+from .packing import op7_packing
 from .quality import op2_quality
 from .secrets import op4_secrets
 from .toxicity import op1_toxicity
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
     "op6_urls": op6_urls,
+    "op7_packing": op7_packing,
+    "op8_lines": op8_lines,
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
 }
