@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
+from .jaccard import op3_jaccard
 from .lines import op8_lines
 from .media import op10_media
 from .packing import op7_packing
@@ -14,6 +15,7 @@ from .urls import op6_urls
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
     "op6_urls": op6_urls,
     "op7_packing": op7_packing,
