@@ -7,6 +7,7 @@ from .jaccard import op3_jaccard
 from .lines import op8_lines
 from .media import op10_media
 from .packing import op7_packing
+from .pii import op5_pii
 from .quality import op2_quality
 from .secrets import op4_secrets
 from .toxicity import op1_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
     "op4_secrets": op4_secrets,
+    "op5_pii": op5_pii,
     "op6_urls": op6_urls,
     "op7_packing": op7_packing,
     "op8_lines": op8_lines,
