@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +42,7 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def pieces(bounds: np.ndarray, most: int = 1 << 22):
+def pieces(bounds: np.ndarray, most: int = 1 << 20):
     """Row ranges (a, b) whose texts hold at most `most` bytes together, or one longer row."""
     a, n = 0, len(bounds) - 1
     while a < n:
@@ -128,3 +130,17 @@ def shared_folder(spark: SparkSession) -> None:
 
 def eq(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver's cleaner delete shuffle and checkpoint files of rounds that are over: it works only when garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, by their key's hash. What tasks send to be ordered is about as many rows in all, not in each."""
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, (1.2 * most + 200) / n) * (1 << 30)))
+    return rows.orderBy(F.xxhash64(key), key).limit(most)

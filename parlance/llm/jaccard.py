@@ -20,7 +20,7 @@ How it stays exact and linear:
    set (the list's first by class), and the overlaps are kept. Members that end up in one component
    are not compared with each other at all; for two that do not, the overlaps with the common set bound
    theirs, and pairs that can't reach the threshold are skipped. Lists with members of several components
-   go on with more sets (1, 16, 256, ... of them), until every list is one component or compared whole.
+   go on with more sets (FIRST_PIVOTS of them, then 16 times as many, and so on), until every list is one component or compared whole.
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and their own
 component. Rows that repeat key and text are one document. A null key is never the smallest id of a
@@ -35,15 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, pieces, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
+from .common import lower_ascii, mix, pieces, release, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
 
 WORDS = 5
 #: The threshold as a fraction: links from 75 / 100 on.
 UP, DOWN = 75, 100
-#: Shingles that a task holds before it sends them.
-FLUSH = 1_000_000
-NONE = np.uint32(0xFFFFFFFF)
-#: Smallest set on either side of a verification task, before it is split.
+#: Shingles and documents that a task holds before it sends them.
+FLUSH, FLUSH_DOCS = 1_000_000, 60_000
+NONE = np.uint16(0xFFFF)
+#: Representatives up to which the list of them is broadcast (16 bytes each); beyond, documents are joined by shuffling.
+BROADCAST_ROWS = 500_000
+#: Sets of a list that are compared with all its others in the second round.
+FIRST_PIVOTS = 64
+#: Sets that a verification task compares with one set, about, before it is split.
 SALT_ROWS = 2000
 
 
@@ -87,14 +91,29 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
 
 
+def _marks(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit mark of shingles. Two that share both count as one; that adds work, but loses nothing."""
+    return (shingles % np.uint64(buckets)).astype(np.int64), (shingles >> np.uint64(32)).astype(np.uint32)
+
+
+def _groups(*keys: np.ndarray):
+    """(start, end) of the runs of equal keys."""
+    n = len(keys[0])
+    if n:
+        change = np.zeros(n - 1, bool)
+        for k in keys:
+            change |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), n]
+        yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def _by_bucket(shingles: np.ndarray, extra: np.ndarray, buckets: int):
-    """(bucket, shingles, extra) of each bucket with shingles."""
-    own = (shingles % np.uint64(buckets)).astype(np.int64)
+    """(bucket, marks, extra) of each bucket with shingles."""
+    own, marks = _marks(shingles, buckets)
     order = np.argsort(own, kind="stable")
-    own, shingles, extra = own[order], shingles[order], extra[order]
-    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.r_[cuts[1:], len(own)], strict=True):
-        yield int(own[a]), shingles[a:b].tobytes(), extra[a:b].tobytes()
+    own, marks, extra = own[order], marks[order], extra[order]
+    for a, b in _groups(own):
+        yield int(own[a]), marks[a:b].tobytes(), extra[a:b].tobytes()
 
 
 def _flushes(batches, column: int):
@@ -107,7 +126,7 @@ def _flushes(batches, column: int):
             for i, s in enumerate(shingle_sets(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]), a):
                 held.append((*(k[i] for k in keys), s))
                 size += len(s)
-            if size >= FLUSH:
+            if size >= FLUSH or len(held) >= FLUSH_DOCS:
                 yield held
                 held, size = [], 0
     if held:
@@ -128,7 +147,7 @@ def _schema(text: str) -> pa.Schema:
 
 def _scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """Facts of every document (bucket -1) and, by bucket, the shingles of their prefixes."""
-    names = "flush bigint,bucket int,ordinal int,d bigint,h bigint,n bigint,s1 bigint,s2 bigint,known int,need int,shingles binary,ordinals binary"
+    names = "flush bigint,bucket int,ordinal int,d bigint,h bigint,n bigint,s1 bigint,s2 bigint,known int,need int,marks binary,ordinals binary"
     schema = _schema(names)
 
     def run(batches):
@@ -140,7 +159,7 @@ def _scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
                 n = len(s)
                 prefixes.append(s[: n - least_overlap(n) + int(wanted(n))] if n else s)
             sizes = [len(p) for p in prefixes]
-            all_, owner = np.concatenate(prefixes), np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
+            all_, owner = np.concatenate(prefixes), np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
             order = np.argsort(all_)
             all_, owner = all_[order], owner[order]
             start = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]]) if len(all_) else np.zeros(0, np.int64)
@@ -160,16 +179,16 @@ def _scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
 
 
 def _gather(batches, wide: str):
-    """All shingles of a task's buckets, what goes with them, and the flush of each."""
-    shingles, extra, flush = [], [], []
+    """All marks of a task's buckets with their bucket, what goes with them and the flush of each, in order."""
+    keys, extra, flush = [], [], []
     for batch in batches:
-        for f, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            shingles.append(np.frombuffer(x, np.uint64))
+        for f, bucket, x, y in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            keys.append(np.frombuffer(x, np.uint32).astype(np.int64) | bucket << 32)
             extra.append(np.frombuffer(y, wide))
-            flush.append(np.full(len(shingles[-1]), f, np.int64))
-    if not shingles:
+            flush.append(np.full(len(keys[-1]), f, np.int64))
+    if not keys:
         return None
-    s, e, f = map(np.concatenate, (shingles, extra, flush))
+    s, e, f = map(np.concatenate, (keys, extra, flush))
     order = np.argsort(s)
     s, e, f = s[order], e[order], f[order]
     start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -177,61 +196,97 @@ def _gather(batches, wide: str):
 
 
 def _shared(sent: DataFrame) -> DataFrame:
-    """flush, ordinal, more: how many of a document's prefix shingles some other flush holds."""
+    """flush, ordinal, more: how many of a document's prefix shingles some other flush holds.
+
+    A task of buckets answers each flush in one row; these rows meet by flush.
+    """
+    schema = _schema("flush bigint,ordinals binary,counts binary")
 
     def run(batches):
-        got = _gather(batches, "<u4")
+        got = _gather(batches, "<u2")
         if not got:
             return
         _, ordinal, flush, _, times = got
         hit = np.repeat(times > 1, times) & (ordinal != NONE)
         order = np.lexsort((ordinal[hit], flush[hit]))
         f, o = flush[hit][order], ordinal[hit][order]
-        start = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (o[1:] != o[:-1])]) if len(f) else np.zeros(0, np.int64)
-        n = np.diff(np.r_[start, len(f)])
-        for a in range(0, len(start), 50_000):
-            at = start[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(f[at]), pa.array(o[at].astype(np.int32)), pa.array(n[a : a + 50_000].astype(np.int32))], ["flush", "ordinal", "more"])
-
-    return sent.select("flush", "shingles", "ordinals", "bucket").repartition("bucket").drop("bucket").mapInArrow(run, "flush bigint, ordinal int, more int").groupBy("flush", "ordinal").agg(F.sum("more").alias("more"))
-
-
-def _stored(kept: DataFrame, buckets: int) -> DataFrame:
-    """Sets of the classes that stay (bucket -1) and, by bucket, each flush's distinct shingles with their counts."""
-    names = "flush bigint,bucket int,class string,n bigint,shingles binary,counts binary"
+        rows = []
+        for a, b in _groups(f):
+            ordinals, counts = np.unique(o[a:b], return_counts=True)
+            rows.append((int(f[a]), ordinals.tobytes(), counts.astype(np.uint32).tobytes()))
+        yield from _batch(rows, schema)
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for f, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ordinals = np.frombuffer(x, np.uint16)
+                have = totals.get(f, np.zeros(0, np.int64))
+                if len(ordinals) and ordinals[-1] >= len(have):
+                    have = np.r_[have, np.zeros(int(ordinals[-1]) + 1 - len(have), np.int64)]
+                have[ordinals] += np.frombuffer(y, np.uint32)
+                totals[f] = have
+        for f, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["flush", "ordinal", "more"])
+
+    told = sent.select("flush", "bucket", "marks", "ordinals").repartition("bucket").mapInArrow(run, "flush bigint, ordinals binary, counts binary")
+    return told.repartition("flush").mapInArrow(add, "flush bigint, ordinal int, more bigint")
+
+
+def _stored(kept: DataFrame) -> DataFrame:
+    """flush, class, n, shingles of the classes that stay; the rows of a flush stand together."""
+    names = "flush bigint,class string,n bigint,shingles binary"
     schema = _schema(names)
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
         for number, held in enumerate(_flushes(batches, 1)):
-            flush = base + number
-            yield from _batch([(flush, -1, c, len(s), s.tobytes(), None) for c, s in held], schema)
-            values, counts = np.unique(np.concatenate([s for _, s in held]), return_counts=True)
-            yield from _batch([(flush, b, None, None, x, y) for b, x, y in _by_bucket(values, counts.astype(np.uint32), buckets)], schema)
+            yield from _batch([(base + number, c, len(s), s.tobytes()) for c, s in held], schema)
 
     return kept.select("class", "t").mapInArrow(run, names.replace(",", ", "))
 
 
-def _frequencies(stored: DataFrame) -> DataFrame:
-    """flush, shingles, counts: for each flush, those of its shingles that two or more classes hold, with the number of classes."""
+def _frequencies(stored: DataFrame, buckets: int) -> DataFrame:
+    """flush, bucket, marks, counts: for each flush, those of its shingles that two or more classes hold, with the number of classes."""
+    names = "flush bigint,bucket int,marks binary,counts binary"
+    schema = _schema(names)
+
+    def send(batches):
+        now, sets = None, []
+
+        def parts():
+            values, counts = np.unique(np.concatenate(sets), return_counts=True)
+            # up to 255 are told of one flush: the order of frequent shingles may differ from that of their counts, but is the same for all
+            return _batch([(now, b, x, y) for b, x, y in _by_bucket(values, np.minimum(counts, 255).astype(np.uint8), buckets)], schema)
+
+        for batch in batches:
+            for f, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if f != now and sets:
+                    yield from parts()
+                    sets = []
+                now = f
+                sets.append(np.frombuffer(data, np.uint64))
+        if sets:
+            yield from parts()
 
     def run(batches):
-        got = _gather(batches, "<u4")
+        got = _gather(batches, "u1")
         if not got:
             return
-        s, count, flush, start, times = got
+        key, count, flush, start, times = got
         total = np.repeat(np.add.reduceat(count.astype(np.int64), start), times)
         hit = total > 1
-        order = np.argsort(flush[hit], kind="stable")
-        f, s, total = flush[hit][order], s[hit][order], np.minimum(total[hit][order], 0xFFFFFFFE).astype(np.uint32)
-        cuts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, np.r_[cuts[1:], len(f)], strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(f[a : a + 1]), pa.array([s[a:b].tobytes()]), pa.array([total[a:b].tobytes()])], ["flush", "shingles", "counts"])
+        order = np.lexsort((key[hit], flush[hit]))
+        f, key, total = flush[hit][order], key[hit][order], np.minimum(total[hit][order], 0xFFFFFFFE).astype(np.uint32)
+        bucket = key >> 32
+        yield from _batch([(int(f[a]), int(bucket[a]), (key[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes(), total[a:b].tobytes()) for a, b in _groups(f, bucket)], schema)
 
-    return stored.where("bucket >= 0").select("flush", "shingles", "counts", "bucket").repartition("bucket").drop("bucket").mapInArrow(run, "flush bigint, shingles binary, counts binary")
+    text = names.replace(",", ", ")
+    return stored.select("flush", "shingles").mapInArrow(send, text).repartition("bucket").mapInArrow(run, text)
 
 
-def _ordered(stored: DataFrame, frequencies: DataFrame) -> DataFrame:
+def _ordered(stored: DataFrame, frequencies: DataFrame, buckets: int) -> DataFrame:
     """class, n, alone, shared: the shared shingles of each set, rarest first; `alone` others come before them.
 
     Sets with fewer shared shingles than a link needs are left out.
@@ -239,14 +294,16 @@ def _ordered(stored: DataFrame, frequencies: DataFrame) -> DataFrame:
     schema = _schema("class string,n bigint,alone bigint,shared binary")
 
     def sets(flush):
-        values, counts = (np.concatenate(x) for x in zip(*flush["counts"], strict=True)) if flush["counts"] else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        values, counts = (np.concatenate(x) for x in zip(*flush["counts"], strict=True)) if flush["counts"] else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
         order = np.argsort(values)
         values, counts = values[order], counts[order]
         out = []
         for name, data in flush["sets"]:
             s = np.frombuffer(data, np.uint64)
-            at = np.minimum(np.searchsorted(values, s), max(0, len(values) - 1))
-            there = values[at] == s if len(values) else np.zeros(len(s), bool)
+            bucket, mark = _marks(s, buckets)
+            key = bucket << 32 | mark.astype(np.int64)
+            at = np.minimum(np.searchsorted(values, key), max(0, len(values) - 1))
+            there = values[at] == key if len(values) else np.zeros(len(s), bool)
             mine, often = s[there], counts[at[there]] if len(values) else np.zeros(0, np.uint32)
             if len(mine) and len(mine) >= least_overlap(len(s)):
                 out.append((name, len(s), len(s) - len(mine), mine[np.lexsort((mine, often))].tobytes()))
@@ -255,19 +312,19 @@ def _ordered(stored: DataFrame, frequencies: DataFrame) -> DataFrame:
     def run(batches):
         now, flush = None, {"sets": [], "counts": []}
         for batch in batches:
-            for f, name, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, name, bucket, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if f != now and now is not None:
                     yield from _batch(sets(flush), schema)
                     flush = {"sets": [], "counts": []}
                 now = f
                 if name is None:
-                    flush["counts"].append((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)))
+                    flush["counts"].append((np.frombuffer(x, np.uint32).astype(np.int64) | bucket << 32, np.frombuffer(y, np.uint32)))
                 else:
                     flush["sets"].append((name, x))
         yield from _batch(sets(flush), schema)
 
-    own = stored.where("bucket = -1").select("flush", "class", "shingles", F.lit(None).cast("binary").alias("counts"))
-    said = frequencies.select("flush", F.lit(None).cast("string").alias("class"), "shingles", "counts")
+    own = stored.select("flush", "class", F.lit(None).cast("int").alias("bucket"), F.col("shingles").alias("data"), F.lit(None).cast("binary").alias("counts"))
+    said = frequencies.select("flush", F.lit(None).cast("string").alias("class"), "bucket", F.col("marks").alias("data"), "counts")
     return own.unionByName(said).repartition("flush").sortWithinPartitions("flush").mapInArrow(run, "class string, n bigint, alone bigint, shared binary")
 
 
@@ -331,47 +388,54 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("class", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "class"), "class", "left").select("class", "comp", F.least("comp", F.coalesce("near", "comp")).alias("next"))
-        step = step.checkpoint()
         jump = step.select(F.col("class").alias("next"), F.col("next").alias("far"))
         after = step.join(jump, "next", "left").select("class", "comp", F.least("next", F.coalesce("far", "next")).alias("new")).checkpoint()
         labels = after.select("class", F.col("new").alias("comp"))
+        release(names.sparkSession)
         if after.where("new != comp").isEmpty():
             return labels
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (class, comp) after more links: only the components that they join are looked at."""
+    of = lambda c: labels.select(F.col("class").alias(c), F.col("comp").alias(f"c{c}"))
+    across = links.join(of("x"), "x").join(of("y"), "y").where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct().checkpoint()
+    names = across.select(F.col("x").alias("class")).union(across.select(F.col("y").alias("class"))).distinct()
+    new = components(across, names).select(F.col("class").alias("comp"), F.col("comp").alias("new"))
+    return labels.join(new, "comp", "left").select("class", F.coalesce("new", "comp").alias("comp")).checkpoint()
+
+
 def _classes(sets: DataFrame) -> DataFrame:
     """class, comp for every class that may link."""
+    spark = sets.sparkSession
     listed = _postings(sets)
     counted = listed.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("class", "n", "pos")).alias("p")).where("many > 1")
     # the overlap with the list's first set (null: not compared) comes with each member for the bounds of later rounds
-    lists = listed.join(counted, "token").checkpoint()
-    first = lists.where("class != p.class").select("token", F.struct("class", "n", "pos").alias("e"), "p")
-    pairs = first.where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
+    lists = listed.join(counted, "token").where("class != p.class").select("token", "class", "n", "pos", "p").checkpoint()
+    pairs = lists.select("token", F.struct("class", "n", "pos").alias("e"), "p").where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
     seen = _verify(pairs, sets).checkpoint()
-    links = seen.where("linked").select("x", "y")
-    labels = components(links, sets)
-    open_ = lists.select("token", "class", "n", "pos", F.col("p.class").alias("x"), F.col("p.n").alias("xn")).where("class != x").join(seen.select("x", F.col("y").alias("class"), "overlap"), ["x", "class"], "left")
-    compared, pivots = seen.select("x", "y"), 16
+    labels = _merged(sets.select("class", F.col("class").alias("comp")), seen.where("linked"))
+    member = lists.select("token", "class", "n", "pos", F.col("p.class").alias("x"))
+    open_ = member.join(seen.select("x", F.col("y").alias("class"), "overlap"), ["x", "class"], "left")
+    compared, pivots = seen.select("x", "y"), FIRST_PIVOTS
     while True:
         told = open_.drop("comp").join(labels, "class")
         several = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
         open_ = told.join(several, "token", "left_semi").checkpoint()
+        release(spark)
         if open_.isEmpty():
             return labels
-        ranked = open_.withColumn("rank", F.row_number().over(_list_order()))
-        heads = ranked.where(F.col("rank") <= pivots)
-        head = heads.select("token", F.struct("class", "n", "pos", "comp", "overlap", "rank").alias("a"))
-        tail = open_.select("token", F.struct("class", "n", "pos", "comp", "overlap", "x", "xn").alias("b"))
+        heads = open_.withColumn("rank", F.row_number().over(_list_order())).where(F.col("rank") <= pivots)
+        head = heads.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("a"))
+        tail = open_.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("b"))
         both = head.join(tail, "token").where((F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & _derivable())
         pairs = both.select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y")).distinct()
         pairs = pairs.join(compared, ["x", "y"], "left_anti").checkpoint()
-        found = _verify(pairs, sets).checkpoint()
-        compared = compared.unionAll(pairs)
-        links = links.unionAll(found.where("linked").select("x", "y"))
-        done = heads.select("token", "class")
-        open_ = open_.join(done, ["token", "class"], "left_anti")
-        labels = components(links, sets)
+        open_ = open_.join(heads.select("token", "class"), ["token", "class"], "left_anti")
         pivots *= 16
+        if not pairs.isEmpty():
+            compared = compared.unionAll(pairs)
+            labels = _merged(labels, _verify(pairs, sets).where("linked"))
 
 
 def _list_order():
@@ -407,9 +471,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     name = F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0"), F.hex("n"))
     rep = classes.where("may").select(name.alias("class"), F.col("rep.d").alias("rep_d"), F.col("rep.h").alias("rep_h"))
     held = docs.select(F.col(key).cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if rep.count() <= BROADCAST_ROWS:
+        rep = F.broadcast(rep)
     kept = held.join(rep, F.col("d").eqNullSafe(F.col("rep_d")) & (F.col("h") == F.col("rep_h"))).dropDuplicates(["class"])
-    stored = _stored(kept, buckets).checkpoint()
-    sets = _ordered(stored, _frequencies(stored)).checkpoint()
+    stored = _stored(kept).checkpoint()
+    sets = _ordered(stored, _frequencies(stored, buckets), buckets).checkpoint()
+    release(spark)
     labels = _classes(sets)
     named = classes.select("n", "s1", "s2", "copies", "least", name.alias("class"))
     linked = named.join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, small_batches, table
+from .common import release, shared_folder, small_batches, table
 
 MIN_WORDS = 25
 _HASH = "text_hash_"
@@ -142,6 +142,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         found = found.unionAll(later)
         depth *= 2
         state = named.where((F.col("size") == depth) & (F.col("reach") > 0)).select("d", "h", "i", "name", F.lit(0).alias("w"), "wants", "reach")
+        release(spark)
         if depth >= min_words or state.isEmpty():
             return found
 
