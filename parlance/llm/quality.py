@@ -26,7 +26,7 @@ from .toxicity import sample_labels
 WORD_BUCKETS = GRAM_BUCKETS = 1 << 15
 WIDTH, EPOCHS, RATE = 8, 6, 4.0
 #: Labelled rows that train the model, at most, of either label; one in five is kept back.
-SAMPLE_GOOD, SAMPLE_BAD = 2500, 2000
+SAMPLE_GOOD, SAMPLE_BAD = 1000, 1000
 #: The score from which a document is good.
 THRESHOLD = 0.7
 
@@ -86,7 +86,7 @@ class QualityModel:
 
 
 def _bags(batches):
-    """label, buckets and weights of each text; weights sum to 1, a bag holds at most all buckets."""
+    """label, buckets and weights of each text, as bytes; weights sum to 1, a bag holds at most all buckets."""
     for batch in batches:
         raw, bounds = text_buffers(batch.column(0))
         bags, weights = [], []
@@ -95,9 +95,9 @@ def _bags(batches):
             (w, _), (g, _) = buckets(part, np.array([0, len(part)]))
             w, n = np.unique(w, return_counts=True)
             g, k = np.unique(g, return_counts=True)
-            bags.append(np.r_[w, g + WORD_BUCKETS].astype(np.int32))
-            weights.append(np.r_[n / max(1, n.sum()), k / max(1, k.sum())].astype(np.float32) / 2)
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bags, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["label", "bag", "weights"])
+            bags.append(np.r_[w, g + WORD_BUCKETS].astype(np.int32).tobytes())
+            weights.append((np.r_[n / max(1, n.sum()), k / max(1, k.sum())] / 2).astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bags, pa.binary()), pa.array(weights, pa.binary())], ["label", "bag", "weights"])
 
 
 def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", prior: fl
     """From a table of few labelled texts (label 1 good). prior: the share of label 1 among all labelled rows."""
     small_batches(labelled.sparkSession)
     rows = labelled.select(text, F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    seen = sorted(((r.label, np.asarray(r.bag, np.int64), np.asarray(r.weights, np.float32)) for r in rows.mapInArrow(_bags, "label int, bag array<int>, weights array<float>").collect()), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+    seen = [(r.label, np.frombuffer(r.bag, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows.mapInArrow(_bags, "label int, bag binary, weights binary").collect()]
+    seen.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
     labels = np.array([r[0] for r in seen], np.int64)
     flat = QualityModel(np.zeros(WORD_BUCKETS), np.zeros(GRAM_BUCKETS), 0.0, 0.0)
     if len(set(labels.tolist())) < 2:
