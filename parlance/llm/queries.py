@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontaminate import op9_decontaminate
 from .jaccard import op3_jaccard
 from .lines import op8_lines
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_jaccard": oracles.JACCARD, "op9_decontaminate": oracles.DECONTAMINATE}

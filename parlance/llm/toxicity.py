@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, small_batches, spans_where, table, text_buffers
+from .common import bounded_sample, fold, pieces, small_batches, spans_where, table, text_buffers
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Word lists of the grammar, for the four languages.
@@ -272,9 +272,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
 
 
 def sample_labels(labels: DataFrame, label: str, most: dict[int, int], key: str = "doc_id") -> DataFrame:
-    """key, label of at most most[y] distinct rows of each label y, those whose hash comes first."""
+    """key, label of at most most[y] distinct rows of each label y, picked by hash."""
     rows = labels.select(key, F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull()).distinct()
-    parts = [rows.where(F.col("label") == y).orderBy(F.xxhash64(key), key).limit(n) for y, n in most.items()]
+    parts = [bounded_sample(rows.where(F.col("label") == y), key, n) for y, n in most.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)

@@ -8,18 +8,15 @@ Null URLs and those without `://` have an empty host and path, fit no rule and a
 trees as an empty string. With no training rows, or one label only, that label's share is the score.
 """
 
-from __future__ import annotations
-
 import math
 import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import bounded_sample, small_batches, table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Most labelled URLs that train the trees.
@@ -77,7 +74,7 @@ class BoostedTrees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], 1)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
         share = (y.sum() + 1e-3) / (len(y) + 2e-3)
         self.prior = math.log(share / (1 - share))
         if not 0 < y.sum() < len(y):
@@ -135,7 +132,7 @@ class BoostedTrees:
 class UrlModel:
     """Trees and the suffix statistics they use. Labels: 1 block, 0 allow."""
 
-    def fit(self, urls: list[str], labels: list[int]) -> UrlModel:
+    def fit(self, urls: list[str], labels: list[int]) -> "UrlModel":
         self.share = (sum(labels) + 1) / (len(labels) + 2)
         seen: dict[str, list[int]] = {}
         for u, y in zip(urls, labels, strict=True):
@@ -157,14 +154,16 @@ class UrlModel:
 
 
 def labelled_urls(pages: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE_URLS) -> tuple[list[str], list[int]]:
-    """At most `sample` URLs that a rule judges, those whose hash comes first, with label 1 for block."""
+    """At most `sample` URLs that a rule judges, picked by hash, with label 1 for block."""
     known = pages.select(F.col(url).alias("u"), rule(host(F.col(url)), path(F.col(url)), rules)[1].alias("v")).where("v is not null and length(u) <= 4096")
-    rows = known.orderBy(F.xxhash64("u"), "u").limit(sample).collect()
+    rows = bounded_sample(known, "u", sample).collect()
     return [r.u for r in rows], [int(r.v == "block") for r in rows]
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict and block_score (the trees' probability of block) for every row."""
+    import pandas as pd
+
     small_batches(pages.sparkSession, 4096)
 
     @F.pandas_udf("double")
