@@ -46,12 +46,12 @@ def handle_batch(store: ChunkStore, answers_path: str | None = None, **options):
 PAIR = "session_id string, prompt_id long, prompt string, stop_id long"
 
 
-def pending_pairs(events: DataFrame, minutes: int = 60) -> DataFrame:
+def pending_pairs(events: DataFrame, minutes: int = 60, late: str = "1 hour") -> DataFrame:
     """Pairs each stop with the prompt that is pending in its session.
 
     events: session_id, kind (`prompt`, `stop` or other), event_id, ts, prompt. A prompt replaces a pending
-    one; a stop without one gives nothing; a prompt that no stop follows within `minutes` is dropped.
-    The state is one prompt a session.
+    one; a stop without one gives nothing; a prompt that no stop has followed when the watermark (`late`
+    behind the newest event) is `minutes` past it is dropped. The state is one prompt a session.
     """
     import pandas as pd
 
@@ -64,7 +64,7 @@ def pending_pairs(events: DataFrame, minutes: int = 60) -> DataFrame:
         out = []
         for r in rows.itertuples():
             if r.kind == "prompt":
-                pending = (int(r.event_id), r.prompt)
+                pending = (int(r.event_id), r.prompt, int(r.ts.timestamp() * 1000))
             elif r.kind == "stop" and pending is not None:
                 out.append((key[0], pending[0], pending[1], int(r.event_id)))
                 pending = None
@@ -73,10 +73,11 @@ def pending_pairs(events: DataFrame, minutes: int = 60) -> DataFrame:
                 state.remove()
         else:
             state.update(pending)
-            state.setTimeoutDuration(minutes * 60_000)
+            state.setTimeoutTimestamp(max(pending[2] + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "prompt_id", "prompt", "stop_id"])
 
-    return events.groupBy("session_id").applyInPandasWithState(run, PAIR, "prompt_id long, prompt string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("session_id").applyInPandasWithState(run, PAIR, "prompt_id long, prompt string, ts_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
