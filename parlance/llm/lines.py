@@ -163,10 +163,10 @@ def _without(text: str, runs: list) -> tuple[str, int]:
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = False, counts: bool = True) -> DataFrame:
     """docs with later copies of repeated runs deleted from the text; counts: adds n_lines (non-blank, before) and n_deleted."""
     small_batches(docs.sparkSession)
-    runs = repeated_runs(docs, key, text, min_words).groupBy("d", "h").agg(F.collect_set(F.struct("i", "size")).alias("runs_"))
+    runs = repeated_runs(docs, key, text, min_words).groupBy("d", "h").agg(F.collect_set(F.struct("i", "size")).alias("runs_")).withColumnsRenamed({"d": "run_key_", "h": "run_hash_"})
     names = docs.columns
     held = docs.withColumn(_HASH, F.xxhash64(text))
-    joined = held.join(runs, F.col(f"`{key}`").eqNullSafe(F.col("d")) & (F.col(_HASH) == F.col("h")), "left").select(*[F.col(f"`{c}`") for c in names], "runs_")
+    joined = held.join(runs, F.col(f"`{key}`").eqNullSafe(F.col("run_key_")) & (F.col(_HASH) == F.col("run_hash_")), "left").select(*[F.col(f"`{c}`") for c in names], "runs_")
     place = names.index(text)
 
     def run(batches):
