@@ -31,6 +31,7 @@ WIDE = len(ALPHABET) + 1
 #: About this many documents give the labelled strings.
 SAMPLE_DOCS = 4000
 MARGIN = 8.0
+BACK_OFF = 20.0
 
 
 def spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
@@ -92,7 +93,10 @@ def pair_counts(strings: DataFrame) -> DataFrame:
 
 
 def fit(strings: DataFrame, margin: float = MARGIN) -> CharacterModels:
-    """Both models from labelled strings (value, label: 1 random, 0 ordinary), with one count added to each pair.
+    """Both models from labelled strings (value, label: 1 random, 0 ordinary).
+
+    A pair's probability after its first character leans on that of its second character alone, with the
+    weight of BACK_OFF observations.
 
     Only 2 * WIDE ** 2 counts reach the driver. Without strings every ratio is 0 and nothing is added.
     """
@@ -101,11 +105,13 @@ def fit(strings: DataFrame, margin: float = MARGIN) -> CharacterModels:
     counts = [[0.0] * (WIDE * WIDE) for _ in range(2)]
     for label, pair, n in pair_counts(strings).collect():
         counts[int(label)][pair] += n
-    ratio = []
-    for a in range(WIDE):
-        rows = [c[a * WIDE : (a + 1) * WIDE] for c in counts]
-        sums = [sum(r) + WIDE for r in rows]
-        ratio += [math.log((r + 1) / sums[1]) - math.log((o + 1) / sums[0]) for o, r in zip(*rows, strict=True)]
+    logs = []
+    for own in counts:
+        total = sum(own)
+        single = [(sum(own[b::WIDE]) + 1) / (total + WIDE) for b in range(WIDE)]
+        rows = [own[a * WIDE : (a + 1) * WIDE] for a in range(WIDE)]
+        logs.append([math.log((n + BACK_OFF * single[b]) / (sum(row) + BACK_OFF)) for row in rows for b, n in enumerate(row)])
+    ratio = [r - o for o, r in zip(*logs, strict=True)]
     return CharacterModels(tuple(ratio), margin)
 
 
