@@ -80,7 +80,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Hashes of spans that don't overlap and stand in order, for some `block` bytes at a time, so that a long text needs no more memory than a short one."""
+    out, a = [], 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + block, side="right")))
+        out.append(_span_hashes(raw[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]))
+        a = b
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of raw[start:end] for each span that is equal for equal bytes.
 
     A span's bytes are scrambled, weighted by powers of an odd number and summed by one running
@@ -88,8 +98,6 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     bytes whatever the lengths.
     """
     n = len(raw)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
