@@ -28,6 +28,11 @@ def low(text):
 
 def components(rows):
     """(key, shingles, component) of each row; None is never the smallest key of a component with others."""
+    return [r[:3] for r in grouped(rows)]
+
+
+def grouped(rows):
+    """As components(), and what tells a row's group from all others."""
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
@@ -50,7 +55,7 @@ def components(rows):
     for i, (k, _) in enumerate(rows):
         if k is not None:
             least[root(i)] = min(least.get(root(i), k), k)
-    return [(k, len(sets[i]), least.get(root(i)) if sets[i] else k) for i, (k, _) in enumerate(rows)]
+    return [(k, len(sets[i]), least.get(root(i)) if sets[i] else k, ("set", root(i)) if sets[i] else (k, t)) for i, (k, t) in enumerate(rows)]
 
 
 def near_copies(seed, n=150):
@@ -78,8 +83,7 @@ def test_jaccard_equals_brute_force(spark, odd_rows, monkeypatch, seed):
     assert Counter(map(tuple, jaccard.join(df).select("d", "n", "component").collect())) == Counter(components(rows))
     kept = jaccard.one_of_each(df)
     assert kept.columns == df.columns
-    groups = Counter(c if n else (k, t or "") for (k, t), (_, n, c) in zip(rows, components(rows), strict=True))
-    assert kept.count() == len(groups)
+    assert kept.count() == len({r[3] for r in grouped(rows)})
 
 
 def test_jaccard_equals_sql(spark, sf_dir):
@@ -391,8 +395,7 @@ def test_pipeline_stages(spark, small_dir, tmp_path):
             own = {(r.doc_id, r.text) for r in after.select("doc_id", "text").collect()}
             if name == "jaccard_join":
                 rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
-                groups = {c if n else (key, t or "") for (key, t), (_, n, c) in zip(rows, components(rows), strict=True)}
-                assert own <= set(rows) and len(own) == after.count() == len(groups)
+                assert own <= set(rows) and len(own) == after.count() == len({r[3] for r in grouped(rows)})
             if name == "decontamination":
                 rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
                 bench = [tuple(r) for r in spark.read.parquet(f"{small_dir}/benchmark.parquet").select("item_id", "text").collect()]

@@ -22,7 +22,7 @@ def _judged(spark, name, label, sf_dir):
 
 @pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.95), ("op2_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     if not Path(folder).exists():
         pytest.skip("no tables of that size")
     said, true, score = _judged(spark, name, label, folder)
@@ -87,9 +87,9 @@ def test_quality_features_match_a_loop():
     from parlance.llm.common import text_buffers
 
     texts = ["a b b", "", None, "ab", "x y z", "ééé", "a  b"]
-    whole = quality.buckets(*text_buffers(pa.array(texts)))
+    whole = quality.buckets(*text_buffers(pa.array(texts, pa.string())))
     for i, t in enumerate(texts):
-        own = quality.buckets(*text_buffers(pa.array([t])))
+        own = quality.buckets(*text_buffers(pa.array([t], pa.string())))
         for (v, at), (w, _) in zip(whole, own, strict=True):
             assert v[at[i] : at[i + 1]].tolist() == w.tolist()
         n = len((t or "").encode())
