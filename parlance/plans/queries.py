@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions.intent import CONFIDENT, DEFAULT, PATTERN_FACTOR, RULES
 from parlance.functions.text import collection, language, tokens
 from parlance.operators import chunks, expand, intent, parsing, render, rerank, search, sessions, turns
-from parlance.plans.index import indexed_chunks
+from parlance.plans.index import index, indexed_chunks
 from parlance.plans.retrieve import retrieve
 from parlance.sources import store
 from parlance.sources.tables import conversation_messages, table
@@ -422,6 +422,11 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # whole paths
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder among those that driver and executors share."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
 @query()
 def index_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed_chunks(_messages(spark, sf_dir)).select("session_id", "turn_no", "chunk_no", "chunk_id", "type", F.size("dense").alias("n_dense"), F.size("sparse").alias("n_sparse"))
@@ -430,7 +435,9 @@ def index_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For the first prompt of every conversation whose id is divisible by EVERY: what the index of all conversations gives."""
-    points = indexed_chunks(_messages(spark, sf_dir))
+    kept = store.ChunkStore(spark, _folder(spark, "chunks"))
+    index(_messages(spark, sf_dir), kept, 0)
+    points = kept.points()
     first = Window.partitionBy("conv_id").orderBy("turn")
     asked = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % EVERY == 0))
     asked = asked.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(F.col("conv_id").alias("qid"), F.lit("conversations").alias("collection"), F.col("text").alias("prompt"))
@@ -448,7 +455,7 @@ def stream_pending_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, as a stream's plain path must be a folder
     kind = F.when(F.col("event_type") == "view", "prompt").when(F.col("event_type") == "purchase", "stop")
     events = stream.select(F.col("user_id").cast("string").alias("session_id"), kind.alias("kind"), "event_id", "ts", F.col("props").alias("prompt")).where("kind is not null")
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/pairs-{uuid.uuid4()}"
+    folder = _folder(spark, "pairs")
     run_available(pending_pairs(events), f"{folder}/rows", f"{folder}/state")
     return spark.read.schema("session_id string, prompt_id long, prompt string, stop_id long").parquet(f"{folder}/rows")
 

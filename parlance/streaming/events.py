@@ -76,7 +76,7 @@ def pending_pairs(events: DataFrame, minutes: int = 60, late: str = "1 hour") ->
             state.setTimeoutTimestamp(max(pending[2] + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "prompt_id", "prompt", "stop_id"])
 
-    timed = events.withWatermark("ts", late)
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy("session_id").applyInPandasWithState(run, PAIR, "prompt_id long, prompt string, ts_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
