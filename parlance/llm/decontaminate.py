@@ -268,7 +268,7 @@ def _parsed():
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated, longest for every row."""
+    """key, n_words, n_hit, n_items, items_sha256, contaminated and the longest match (0 words, -1 and the empty text for none) for every row."""
     found = hits(docs.select(F.col(key).alias(key), F.col(text).alias("text")), benchmark, carry=[key])
     n_hit = F.aggregate("hit_ranges_", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
     return found.select(
@@ -278,9 +278,9 @@ def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
         F.size("hit_items_").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("hit_items_"), ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        F.col("hit_longest_.words").alias("longest_words"),
-        F.col("hit_longest_.start").alias("longest_start"),
-        F.col("hit_longest_.item").alias("longest_item"),
+        F.coalesce("hit_longest_.words", F.lit(0)).alias("longest_words"),
+        F.coalesce("hit_longest_.start", F.lit(-1)).alias("longest_start"),
+        F.coalesce("hit_longest_.item", F.lit("")).alias("longest_item"),
     )
 
 

@@ -27,6 +27,6 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
 u AS (SELECT doc_id, item_id::VARCHAR AS item, pos - k AS diagonal, min(pos) AS start, count(*) + any_value(z) - 1 AS words FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, pos - k ORDER BY pos) AS run FROM m) GROUP BY doc_id, item_id, pos - k, run),
 t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item, diagonal, start) AS rn FROM u)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, words AS longest_words, start AS longest_start, item AS longest_item
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(words, 0) AS longest_words, coalesce(start, -1) AS longest_start, coalesce(item, '') AS longest_item
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN (SELECT * FROM t WHERE rn = 1) USING (doc_id)
 """
