@@ -13,14 +13,15 @@ How it stays exact and linear:
    shared shingles link with nothing and leave.
 3. Of the classes that stay, shingles are counted in full and each set is put in the order rarest
    first. What no other set holds needs no index entry: only shared shingles are kept.
-4. Index lists hold (class, size, position) for the first n - ceil(.75 n) + 1 positions. A position
+4. Index lists hold (class, size, position) for the first n - ceil(.75 n) + 1 positions. Lists of equal
+   members (told by two 64-bit sums) are kept once. A position
    bounds the overlap that is still possible, so blocks of a list whose positions are too late for a
    pair's sizes are skipped before any set is read.
 5. Answers are derived from those of a similar set: in each list all members are compared with one
    set (the list's first by class), and the overlaps are kept. Members that end up in one component
    are not compared with each other at all; for two that do not, the overlaps with the common set bound
    theirs, and pairs that can't reach the threshold are skipped. Lists with members of several components
-   go on with more sets (FIRST_PIVOTS of them, then 16 times as many, and so on), until every list is one component or compared whole.
+   go on with more sets (FIRST_PIVOTS of them, then four times as many, and so on), until every list is one component or compared whole.
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and their own
 component. Rows that repeat key and text are one document. A null key is never the smallest id of a
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, pieces, release, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
+from .common import MASK, lower_ascii, mix, pieces, release, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
 
 WORDS = 5
 #: The threshold as a fraction: links from 75 / 100 on.
@@ -46,7 +47,9 @@ NONE = np.uint16(0xFFFF)
 #: Representatives up to which the list of them is broadcast (16 bytes each); beyond, documents are joined by shuffling.
 BROADCAST_ROWS = 500_000
 #: Sets of a list that are compared with all its others in the second round.
-FIRST_PIVOTS = 64
+FIRST_PIVOTS = 16
+#: Links up to which one task joins them to components; beyond, tasks pass labels along links.
+ONE_TASK_LINKS = 500_000
 #: Sets that a verification task compares with one set, about, before it is split.
 SALT_ROWS = 2000
 
@@ -96,6 +99,16 @@ def _marks(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (shingles % np.uint64(buckets)).astype(np.int64), (shingles >> np.uint64(32)).astype(np.uint32)
 
 
+def _name(s: np.ndarray) -> str:
+    """The name of a set's class, as _class_name() gives it."""
+    a, b = signature(s)
+    return f"{a & MASK:016X}{b & MASK:016X}{len(s):X}"
+
+
+def _class_name() -> Column:
+    return F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0"), F.hex("n"))
+
+
 def _groups(*keys: np.ndarray):
     """(start, end) of the runs of equal keys."""
     n = len(keys[0])
@@ -241,16 +254,19 @@ def _stored(kept: DataFrame) -> DataFrame:
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        for number, held in enumerate(_flushes(batches, 1)):
-            yield from _batch([(base + number, c, len(s), s.tobytes()) for c, s in held], schema)
+        for number, held in enumerate(_flushes(batches, 0)):
+            yield from _batch([(base + number, _name(s), len(s), s.tobytes()) for (s,) in held], schema)
 
-    return kept.select("class", "t").mapInArrow(run, names.replace(",", ", "))
+    return kept.select("t").mapInArrow(run, names.replace(",", ", "))
 
 
 def _frequencies(stored: DataFrame, buckets: int) -> DataFrame:
-    """flush, bucket, marks, counts: for each flush, those of its shingles that two or more classes hold, with the number of classes."""
-    names = "flush bigint,bucket int,marks binary,counts binary"
-    schema = _schema(names)
+    """flush, keys, counts: for each flush, those of its shingles that two or more classes hold, with the number of classes.
+
+    A task of buckets answers each flush in one row. Counts end at 65,535: beyond, the order is that of the shingles.
+    """
+    names, answers = "flush bigint,bucket int,marks binary,counts binary", "flush bigint,keys binary,counts binary"
+    schema, answer = _schema(names), _schema(answers)
 
     def send(batches):
         now, sets = None, []
@@ -278,12 +294,11 @@ def _frequencies(stored: DataFrame, buckets: int) -> DataFrame:
         total = np.repeat(np.add.reduceat(count.astype(np.int64), start), times)
         hit = total > 1
         order = np.lexsort((key[hit], flush[hit]))
-        f, key, total = flush[hit][order], key[hit][order], np.minimum(total[hit][order], 0xFFFFFFFE).astype(np.uint32)
-        bucket = key >> 32
-        yield from _batch([(int(f[a]), int(bucket[a]), (key[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes(), total[a:b].tobytes()) for a, b in _groups(f, bucket)], schema)
+        f, key, total = flush[hit][order], key[hit][order], np.minimum(total[hit][order], 0xFFFF).astype(np.uint16)
+        yield from _batch([(int(f[a]), key[a:b].tobytes(), total[a:b].tobytes()) for a, b in _groups(f)], answer)
 
-    text = names.replace(",", ", ")
-    return stored.select("flush", "shingles").mapInArrow(send, text).repartition("bucket").mapInArrow(run, text)
+    sent = stored.select("flush", "shingles").mapInArrow(send, names.replace(",", ", "))
+    return sent.repartition("bucket").mapInArrow(run, answers.replace(",", ", "))
 
 
 def _ordered(stored: DataFrame, frequencies: DataFrame, buckets: int) -> DataFrame:
@@ -294,7 +309,7 @@ def _ordered(stored: DataFrame, frequencies: DataFrame, buckets: int) -> DataFra
     schema = _schema("class string,n bigint,alone bigint,shared binary")
 
     def sets(flush):
-        values, counts = (np.concatenate(x) for x in zip(*flush["counts"], strict=True)) if flush["counts"] else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        values, counts = (np.concatenate(x) for x in zip(*flush["counts"], strict=True)) if flush["counts"] else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
         order = np.argsort(values)
         values, counts = values[order], counts[order]
         out = []
@@ -304,7 +319,7 @@ def _ordered(stored: DataFrame, frequencies: DataFrame, buckets: int) -> DataFra
             key = bucket << 32 | mark.astype(np.int64)
             at = np.minimum(np.searchsorted(values, key), max(0, len(values) - 1))
             there = values[at] == key if len(values) else np.zeros(len(s), bool)
-            mine, often = s[there], counts[at[there]] if len(values) else np.zeros(0, np.uint32)
+            mine, often = s[there], counts[at[there]] if len(values) else np.zeros(0, np.uint16)
             if len(mine) and len(mine) >= least_overlap(len(s)):
                 out.append((name, len(s), len(s) - len(mine), mine[np.lexsort((mine, often))].tobytes()))
         return out
@@ -312,19 +327,19 @@ def _ordered(stored: DataFrame, frequencies: DataFrame, buckets: int) -> DataFra
     def run(batches):
         now, flush = None, {"sets": [], "counts": []}
         for batch in batches:
-            for f, name, bucket, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for f, name, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if f != now and now is not None:
                     yield from _batch(sets(flush), schema)
                     flush = {"sets": [], "counts": []}
                 now = f
                 if name is None:
-                    flush["counts"].append((np.frombuffer(x, np.uint32).astype(np.int64) | bucket << 32, np.frombuffer(y, np.uint32)))
+                    flush["counts"].append((np.frombuffer(x, np.int64), np.frombuffer(y, np.uint16)))
                 else:
                     flush["sets"].append((name, x))
         yield from _batch(sets(flush), schema)
 
-    own = stored.select("flush", "class", F.lit(None).cast("int").alias("bucket"), F.col("shingles").alias("data"), F.lit(None).cast("binary").alias("counts"))
-    said = frequencies.select("flush", F.lit(None).cast("string").alias("class"), "bucket", F.col("marks").alias("data"), "counts")
+    own = stored.select("flush", "class", F.col("shingles").alias("data"), F.lit(None).cast("binary").alias("counts"))
+    said = frequencies.select("flush", F.lit(None).cast("string").alias("class"), F.col("keys").alias("data"), "counts")
     return own.unionByName(said).repartition("flush").sortWithinPartitions("flush").mapInArrow(run, "class string, n bigint, alone bigint, shared binary")
 
 
@@ -382,7 +397,29 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
-    """class, comp: the smallest class reachable over links (x, y), by least labels and pointer jumping."""
+    """class, comp: the smallest class reachable over links (x, y); names are the classes that have links.
+
+    Few links are joined in one task; many by least labels and pointer jumping.
+    """
+    if links.count() <= ONE_TASK_LINKS:
+
+        def run(batches):
+            parent: dict[str, str] = {}
+
+            def root(x: str) -> str:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = parent[up]
+                    x = up
+                return x
+
+            for batch in batches:
+                for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    x, y = root(x), root(y)
+                    parent[max(x, y)] = min(x, y)
+            found = [(x, root(x)) for x in list(parent)]
+            yield from _batch(found, _schema("class string,comp string"))
+
+        return links.select("x", "y").coalesce(1).mapInArrow(run, "class string, comp string")
     both = links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionAll(links.select(F.col("y").alias("a"), F.col("x").alias("b"))).checkpoint()
     labels = names.select("class", F.col("class").alias("comp"))
     while True:
@@ -409,7 +446,10 @@ def _classes(sets: DataFrame) -> DataFrame:
     """class, comp for every class that may link."""
     spark = sets.sparkSession
     listed = _postings(sets)
-    counted = listed.groupBy("token").agg(F.count("*").alias("many"), F.min(F.struct("class", "n", "pos")).alias("p")).where("many > 1")
+    # lists of the same members stand for one: that of their first token, which leaves most room for a link
+    members = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    counted = listed.groupBy("token").agg(F.count("*").alias("many"), *members, F.min(F.struct("class", "n", "pos")).alias("p")).where("many > 1")
+    counted = counted.groupBy("many", "m1", "m2").agg(F.min_by(F.struct("token", "p"), F.struct("p.pos", "token")).alias("l")).select("l.token", "l.p")
     # the overlap with the list's first set (null: not compared) comes with each member for the bounds of later rounds
     lists = listed.join(counted, "token").where("class != p.class").select("token", "class", "n", "pos", "p").checkpoint()
     pairs = lists.select("token", F.struct("class", "n", "pos").alias("e"), "p").where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
@@ -428,11 +468,12 @@ def _classes(sets: DataFrame) -> DataFrame:
         heads = open_.withColumn("rank", F.row_number().over(_list_order())).where(F.col("rank") <= pivots)
         head = heads.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("a"))
         tail = open_.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("b"))
-        both = head.join(tail, "token").where((F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & _derivable())
+        after = F.struct("a.n", "a.class") < F.struct("b.n", "b.class")  # a list's order: each pair once
+        both = head.join(tail, "token").where(after & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & _derivable())
         pairs = both.select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y")).distinct()
         pairs = pairs.join(compared, ["x", "y"], "left_anti").checkpoint()
         open_ = open_.join(heads.select("token", "class"), ["token", "class"], "left_anti")
-        pivots *= 16
+        pivots *= 4
         if not pairs.isEmpty():
             compared = compared.unionAll(pairs)
             labels = _merged(labels, _verify(pairs, sets).where("linked"))
@@ -462,23 +503,24 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     shared_folder(spark)
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     scan = _scan(docs, key, text, buckets).checkpoint()
+    release(spark)
     facts = scan.where("bucket = -1").select("flush", "ordinal", "d", "h", "n", "s1", "s2", "known", "need")
     more = _shared(scan.where("bucket >= 0"))
     judged = facts.join(more, ["flush", "ordinal"], "left").withColumn("may", (F.col("n") > 0) & (F.col("known") + F.coalesce("more", F.lit(0)) >= F.col("need")))
     classes = judged.where("n > 0").groupBy("n", "s1", "s2").agg(F.count("*").alias("copies"), F.min("d").alias("least"), F.min(F.struct("d", "h")).alias("rep"), F.bool_or("may").alias("may")).checkpoint()
-    name = F.concat(F.lpad(F.hex("s1"), 16, "0"), F.lpad(F.hex("s2"), 16, "0"), F.hex("n"))
-    rep = classes.where("may").select(name.alias("class"), F.col("rep.d").alias("rep_d"), F.col("rep.h").alias("rep_h"))
+    release(spark)
+    rep = classes.where("may").select(F.col("rep.d").alias("rep_d"), F.col("rep.h").alias("rep_h"))
     held = docs.select(F.col(key).cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     if rep.count() <= BROADCAST_ROWS:
         rep = F.broadcast(rep)
-    kept = held.join(rep, F.col("d").eqNullSafe(F.col("rep_d")) & (F.col("h") == F.col("rep_h"))).dropDuplicates(["class"])
+    kept = held.join(rep, F.col("d").eqNullSafe(F.col("rep_d")) & (F.col("h") == F.col("rep_h")), "left_semi").dropDuplicates(["d", "h"])
     stored = _stored(kept).checkpoint()
     sets = _ordered(stored, _frequencies(stored, buckets), buckets).checkpoint()
     release(spark)
     labels = _classes(sets)
-    named = classes.select("n", "s1", "s2", "copies", "least", name.alias("class"))
+    named = classes.select("n", "s1", "s2", "copies", "least", _class_name().alias("class"))
     linked = named.join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = linked.groupBy("comp").agg(F.min("least").alias("component"))
     answer = linked.join(smallest, "comp").select("n", "s1", "s2", "copies", "component", "comp")
