@@ -46,8 +46,12 @@ def _place() -> Column:
 
 
 def _named(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Adds `name`, the first place of the block's class, and drops classes with one place."""
-    classes = blocks.groupBy(*by).agg(F.min(_place()).alias("name"), F.max(_place()).alias("last")).where("name != last").drop("last")
+    """Adds `name`, the first place of the block's class, and drops classes with one place.
+
+    The classes are written before the join: with no aggregate between shuffle and join, Spark can split
+    the partition of a line that a large share of all documents holds.
+    """
+    classes = blocks.groupBy(*by).agg(F.min(_place()).alias("name"), F.max(_place()).alias("last")).where("name != last").drop("last").checkpoint()
     return blocks.join(classes, by)
 
 
