@@ -472,7 +472,7 @@ def _classes(sets: DataFrame) -> DataFrame:
         both = head.join(tail, "token").where(after & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & _derivable())
         pairs = both.select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y")).distinct()
         pairs = pairs.join(compared, ["x", "y"], "left_anti").checkpoint()
-        open_ = open_.join(heads.select("token", "class"), ["token", "class"], "left_anti")
+        open_ = open_.join(heads.select("token", "class"), ["token", "class"], "left_anti").checkpoint()  # the next round reads it twice
         pivots *= 4
         if not pairs.isEmpty():
             compared = compared.unionAll(pairs)
