@@ -118,7 +118,7 @@ def _scans(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(raw: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     """The stored form of each row's bytes."""
     out: list[bytes] = []
-    for a, b in pieces(bounds, 1 << 20):
+    for a, b in pieces(bounds, 1 << 18):
         sizes = bounds[a + 1 : b + 1] - bounds[a:b]
         rows = np.maximum(1, -(-sizes // ROW))
         start = np.zeros(len(rows) + 1, np.int64)
@@ -359,7 +359,7 @@ def media_features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             sizes = np.array([len(x.as_py()) for x in batch.column(2)], np.int64)
-            for a, b in pieces(np.r_[0, np.cumsum(sizes)]):
+            for a, b in pieces(np.r_[0, np.cumsum(sizes)], 1 << 18):
                 media = [x.as_py() for x in batch.column(2)[a:b]]
                 out = []
                 for data, images in zip(media, decode(media), strict=True):
