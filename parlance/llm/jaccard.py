@@ -2,7 +2,8 @@
 
 A document's set holds its distinct shingles of five words (`[^\\x20\\x09-\\x0D]+` of the text with A-Z
 lower-cased; a shorter text is one shingle). Two documents link when the Jaccard similarity of
-their sets reaches 75 %. The result is each document's component under these links.
+their sets reaches 75 %. The result is each document's component under these links and, where it is
+asked for (`links`), the number of documents that it links with.
 
 How it stays exact and linear:
 
@@ -22,6 +23,7 @@ How it stays exact and linear:
    are not compared with each other at all; for two that do not, the overlaps with the common set bound
    theirs, and pairs that can't reach the threshold are skipped. Lists with members of several components
    go on with more sets (FIRST_PIVOTS of them, then four times as many, and so on), until every list is one component or compared whole.
+   With `links` components leave nothing out: every list is compared whole, but for pairs that the bounds rule out.
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and their own
 component. Rows that repeat key and text are one document. A null key is never the smallest id of a
@@ -442,8 +444,8 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(new, "comp", "left").select("class", F.coalesce("new", "comp").alias("comp")).checkpoint()
 
 
-def _classes(sets: DataFrame) -> DataFrame:
-    """class, comp for every class that may link."""
+def _classes(sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """class, comp for every class that may link, and the links found, x < y, each once: those that components need, or with `every` all."""
     spark = sets.sparkSession
     listed = _postings(sets)
     # lists of the same members stand for one: that of their first token, which leaves most room for a link
@@ -454,17 +456,18 @@ def _classes(sets: DataFrame) -> DataFrame:
     lists = listed.join(counted, "token").where("class != p.class").select("token", "class", "n", "pos", "p").checkpoint()
     pairs = lists.select("token", F.struct("class", "n", "pos").alias("e"), "p").where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
     seen = _verify(pairs, sets).checkpoint()
-    labels = _merged(sets.select("class", F.col("class").alias("comp")), seen.where("linked"))
+    links = seen.where("linked").select("x", "y")
+    labels = _merged(sets.select("class", F.col("class").alias("comp")), links)
     member = lists.select("token", "class", "n", "pos", F.col("p.class").alias("x"))
     open_ = member.join(seen.select("x", F.col("y").alias("class"), "overlap"), ["x", "class"], "left")
     compared, pivots = seen.select("x", "y"), FIRST_PIVOTS
     while True:
-        told = open_.drop("comp").join(labels, "class")
+        told = open_.withColumn("comp", F.col("class")) if every else open_.drop("comp").join(labels, "class")
         several = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
         open_ = told.join(several, "token", "left_semi").checkpoint()
         release(spark)
         if open_.isEmpty():
-            return labels
+            return (_merged(labels, links) if every else labels), links
         heads = open_.withColumn("rank", F.row_number().over(_list_order())).where(F.col("rank") <= pivots)
         head = heads.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("a"))
         tail = open_.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("b"))
@@ -476,7 +479,10 @@ def _classes(sets: DataFrame) -> DataFrame:
         pivots *= 4
         if not pairs.isEmpty():
             compared = compared.unionAll(pairs)
-            labels = _merged(labels, _verify(pairs, sets).where("linked"))
+            new = _verify(pairs, sets).where("linked").select("x", "y")
+            new = new.checkpoint() if every else new
+            links = links.unionAll(new)
+            labels = labels if every else _merged(labels, new)
 
 
 def _list_order():
@@ -495,10 +501,11 @@ def _derivable() -> Column:
     return F.coalesce(most >= _needed(a["n"], b["n"]), F.lit(True))
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
     """d (key), h (hash of the text), n, s1, s2 (signature of the set), component, copies (documents of an equal set) for every row.
 
-    component is the smallest key reachable; see the module's text for nulls.
+    component is the smallest key reachable; see the module's text for nulls. links: adds n_links, the
+    number of other rows whose sets link with the row's, those of equal sets included.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -519,12 +526,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     stored = _stored(kept).checkpoint()
     sets = _ordered(stored, _frequencies(stored, buckets), buckets).checkpoint()
     release(spark)
-    labels = _classes(sets)
+    labels, linked_classes = _classes(sets, links)
     named = classes.select("n", "s1", "s2", "copies", "least", _class_name().alias("class"))
     linked = named.join(labels, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     smallest = linked.groupBy("comp").agg(F.min("least").alias("component"))
-    answer = linked.join(smallest, "comp").select("n", "s1", "s2", "copies", "component", "comp")
-    return facts.join(answer, ["n", "s1", "s2"], "left").select("d", "h", "n", "s1", "s2", "copies", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("d")).alias("component"), "comp")
+    answer = linked.join(smallest, "comp")
+    if links:
+        both = linked_classes.unionAll(linked_classes.select("y", "x"))
+        others = both.join(named.select(F.col("class").alias("y"), "copies"), "y").groupBy(F.col("x").alias("class")).agg(F.sum("copies").alias("others"))
+        answer = answer.join(others, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    extra = ["n_links"] if links else []
+    answer = answer.select("n", "s1", "s2", "copies", "component", "comp", *extra)
+    found = facts.join(answer, ["n", "s1", "s2"], "left")
+    return found.select("d", "h", "n", "s1", "s2", "copies", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("d")).alias("component"), "comp", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -542,3 +556,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = join(table(spark, sf_dir, "documents"))
     return found.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("copies", F.lit(0)).cast("long").alias("n_equal_sets"))
+
+
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3_jaccard's columns, which its SQL fixes, and n_links, the number of other documents that each links with."""
+    found = join(table(spark, sf_dir, "documents"), links=True)
+    return found.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("copies", F.lit(0)).cast("long").alias("n_equal_sets"), "n_links")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import oracles
 from .decontaminate import op9_decontaminate
-from .jaccard import op3_jaccard
+from .jaccard import op3_jaccard, op3_jaccard_links
 from .lines import op8_lines
 from .media import op10_media
 from .packing import op7_packing
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
+    "op3_jaccard_links": op3_jaccard_links,
     "op4_secrets": op4_secrets,
     "op5_pii": op5_pii,
     "op6_urls": op6_urls,

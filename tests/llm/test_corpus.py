@@ -91,6 +91,34 @@ def test_jaccard_equals_sql(spark, sf_dir):
     assert of_spark(QUERIES["op3_jaccard"](spark, sf_dir)) == of_sql(connect(sf_dir), JACCARD)
 
 
+def linked(rows):
+    """(key, shingles, links to other rows) of each row."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 75 * len(a | b)
+    return [(k, len(s), sum(near(s, o) for j, o in enumerate(sets) if j != i)) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("pivots", [16, 2])
+def test_jaccard_links_equal_brute_force(spark, odd_rows, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard, "FIRST_PIVOTS", pivots)
+    # one group of near copies of one text: a common neighbour joins most pairs before they are compared
+    text = [f"v{i}" for i in range(60)]
+    group = [(1000 + k, " ".join([*text[:k], f"new{k % 20}", *text[k + 1 :]])) for k in range(40)]
+    rows = near_copies(3) + group + odd_rows
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_links", F.lit(1)).repartition(4)
+    got = jaccard.join(df, links=True)
+    assert Counter(map(tuple, got.select("d", "n", "n_links").collect())) == Counter(linked(rows))
+    assert Counter(map(tuple, got.select("d", "n", "component").collect())) == Counter(components(rows))
+
+
+def test_jaccard_links_query(spark, small_dir, texts):
+    got = QUERIES["op3_jaccard_links"](spark, small_dir)
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "n_links").collect())) == Counter(linked(texts))
+
+
 # line dedup
 
 
