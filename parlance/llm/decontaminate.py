@@ -27,8 +27,8 @@ from .common import lower_ascii, pieces, small_batches, span_hashes, spans_where
 WINDOW = 10
 BLOCK_WORDS = 200_000
 DEPTH = 16
-#: Offsets within an item that a window may match when runs are measured; hits and items don't depend on it.
-OFFSETS = 16
+#: Matches (place in a document, offset in an item) that are held at once when runs are measured; longer lists go in parts.
+HELD = 1_000_000
 
 
 def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,30 +74,28 @@ def suffix_array(h: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndar
 
 
 class Block:
-    """Benchmark items with their windows: unique word sequences, and the items and offsets of each."""
+    """Benchmark items with their windows: unique word sequences, and the texts and offsets of each."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        items = sorted(set(items))
         raw, bounds = text_buffers(pa.array([t for _, t in items], pa.string()))
         h, first = words(raw, bounds)
-        found: dict[bytes, dict[int, list[int]]] = {}
-        names = sorted({n for n, _ in items})
-        place = {n: i for i, n in enumerate(names)}
-        for i, (name, _) in enumerate(items):
+        found: dict[bytes, list[tuple[int, int]]] = {}
+        for i in range(len(items)):
             own = h[first[i] : first[i + 1]]
             size = min(window, len(own))
             for k in range(len(own) - size + 1 if size else 0):
-                at = found.setdefault(own[k : k + size].tobytes(), {}).setdefault(place[name], [])
-                if len(at) < OFFSETS:
-                    at.append(k)
-        self.names = names
+                found.setdefault(own[k : k + size].tobytes(), []).append((i, k))
+        self.names = [n for n, _ in items]
         keys = list(found)
         self.size = np.array([len(k) // 8 for k in keys], np.int64)
         self.words = np.zeros((len(keys), window), np.uint64)
         for i, k in enumerate(keys):
             self.words[i, : len(k) // 8] = np.frombuffer(k, np.uint64)
-        places = [(i, item, k) for i, key in enumerate(keys) for item, at in found[key].items() for k in at]
+        places = [(i, item, k) for i, key in enumerate(keys) for item, k in found[key]]
         self.uses = np.array(places, np.int64).reshape(-1, 3)
         self.first_use = np.searchsorted(self.uses[:, 0], np.arange(len(keys) + 1))
+        self.size_of = np.minimum(np.diff(first), window)  # of each text
 
     def search(self, order: np.ndarray, number: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the shard and window of every occurrence, by binary search for each window's bounds."""
@@ -137,6 +135,47 @@ class Block:
         return order[slots], window
 
 
+def longest(block: Block, local: np.ndarray, window: np.ndarray) -> tuple[int, int, str, int]:
+    """The longest of the runs of windows, each one word further in a document and in an item; places are in order.
+
+    Equal lengths go by item, diagonal and start. Matches are looked at HELD at a time, whole places together;
+    runs that reach a part's last place go on in the next.
+    """
+    times = block.first_use[window + 1] - block.first_use[window]
+    total = np.r_[0, np.cumsum(times)]
+    lead = np.flatnonzero(np.r_[True, local[1:] != local[:-1]])
+    best, low, last = None, 0, -2
+    open_, open_size, open_start = (np.zeros(0, np.int64) for _ in range(3))
+    while low < len(local):
+        cut = int(np.searchsorted(lead, np.searchsorted(total, total[low] + HELD, side="right") - 1, side="right")) - 1
+        high = int(lead[cut]) if lead[cut] > low else int(np.r_[lead, len(local)][np.searchsorted(lead, low) + 1])
+        if total[-1] - total[low] <= HELD:
+            high = len(local)
+        many = times[low:high]
+        uses = block.uses[np.repeat(block.first_use[window[low:high]] - total[low:high] + total[low], many) + np.arange(many.sum())]
+        place = np.repeat(local[low:high], many)
+        run = uses[:, 1] << 40 | (place - uses[:, 2] + (1 << 39))  # text and diagonal
+        order = np.lexsort((place, run))
+        run, place = run[order], place[order]
+        begin = np.flatnonzero(np.r_[True, (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)])
+        size, run, start, end = np.diff(np.r_[begin, len(place)]), run[begin], place[begin], place[np.r_[begin[1:], len(place)] - 1]
+        if len(open_):
+            at = np.minimum(np.searchsorted(open_, run), len(open_) - 1)
+            on = (open_[at] == run) & (start == last + 1)
+            size = size + np.where(on, open_size[at], 0)
+            start = np.where(on, open_start[at], start)
+        text = run >> 40
+        words_ = size - 1 + block.size_of[text]
+        for k in np.flatnonzero(words_ == words_.max()).tolist():
+            diagonal = int(run[k] & (1 << 40) - 1) - (1 << 39)
+            mine = (-int(words_[k]), block.names[int(text[k])], diagonal, int(start[k]))
+            best = mine if best is None else min(best, mine)
+        last, low = int(local[high - 1]), high
+        goes = end == last
+        open_, open_size, open_start = run[goes], size[goes], start[goes]
+    return -best[0], best[3], best[1], best[3] - best[2]
+
+
 def find(block: Block, raw: np.ndarray, bounds: np.ndarray) -> dict[int, dict]:
     """By row with an occurrence: hit word ranges (joined, not touching), items and the longest match.
 
@@ -164,19 +203,10 @@ def find(block: Block, raw: np.ndarray, bounds: np.ndarray) -> dict[int, dict]:
         local, ends, w = at[a:b] - begin[r], at[a:b] - begin[r] + size[a:b], window[a:b]
         reach = np.maximum.accumulate(ends)
         new = np.flatnonzero(np.r_[True, local[1:] > reach[:-1]])
-        uses = np.concatenate([block.uses[block.first_use[x] : block.first_use[x + 1]] for x in w])
-        times = (block.first_use[w + 1] - block.first_use[w]).astype(np.int64)
-        place = np.repeat(local, times)
-        runs = np.lexsort((place, place - uses[:, 2], uses[:, 1]))
-        item, offset, place, long = uses[runs, 1], uses[runs, 2], place[runs], np.repeat(size[a:b], times)[runs]
-        fresh = np.r_[True, (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (offset[1:] != offset[:-1] + 1)]
-        starts = np.flatnonzero(fresh)
-        lengths = np.diff(np.r_[starts, len(place)]) - 1 + long[starts]
-        best = int(lengths.argmax())
         out[r] = {
             "ranges": list(zip(local[new].tolist(), np.r_[reach[new[1:] - 1], reach[-1]].tolist(), strict=True)),
-            "items": sorted({block.names[i] for i in uses[:, 1].tolist()}),
-            "longest": (int(lengths[best]), int(place[starts[best]]), block.names[int(item[starts[best]])], int(offset[starts[best]])),
+            "items": sorted({block.names[i] for x in np.unique(w).tolist() for i in np.unique(block.uses[block.first_use[x] : block.first_use[x + 1], 1]).tolist()}),
+            "longest": longest(block, local, w),
         }
     return out
 

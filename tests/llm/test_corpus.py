@@ -235,6 +235,33 @@ def test_longest_match(spark):
     assert (rows[2].longest_words, rows[2].longest_start, rows[2].longest_item) == (0, -1, "")
 
 
+@pytest.mark.parametrize("held", [1_000_000, 7])
+def test_longest_match_of_repetitive_texts(monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "HELD", held)
+    rng = random.Random(held)
+    said = lambda n: " ".join(rng.choice(["a", "a", "a", "b"]) for _ in range(n))
+    items = [("1", "a " * 60), ("2", said(70)), ("2", said(40)), ("3", "b a"), ("4", said(9)), ("5", "a " * 45 + "c"), ("6", "")]
+    block = decontaminate.Block(items)
+    texts = ["a " * 60, "", *(said(n) for n in (1, 8, 30, 60, 90)), "c " + "a " * 45 + "c", "x " * 20 + items[1][1] + " y"]
+    found = decontaminate.find(block, *text_buffers(pa.array(texts)))
+    for i, t in enumerate(texts):
+        runs = []
+        for name, x in items:
+            d, w = t.split(), x.split()
+            z = min(10, len(w))
+            for p, k in itertools.product(range(len(d)), range(len(w))):
+                if p and k and d[p - 1] == w[k - 1]:
+                    continue
+                n = 0
+                while p + n < len(d) and k + n < len(w) and d[p + n] == w[k + n]:
+                    n += 1
+                if n >= z:
+                    runs.append((-n, name, p - k, p))
+        got = found[i]["longest"] if i in found else None
+        assert got == ((-min(runs)[0], min(runs)[3], min(runs)[1], min(runs)[3] - min(runs)[2]) if runs else None)
+    assert found[0]["longest"] == (60, 0, "1", 0)
+
+
 # packing
 
 
