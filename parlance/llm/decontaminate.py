@@ -241,7 +241,7 @@ def _join(a: dict | None, b: dict | None) -> dict | None:
             ranges[-1][1] = max(ranges[-1][1], end)
         else:
             ranges.append([start, end])
-    return {"ranges": ranges, "items": sorted({*a["items"], *b["items"]}), "longest": max(a["longest"], b["longest"], key=lambda x: (x[0], -x[1]))}
+    return {"ranges": ranges, "items": sorted({*a["items"], *b["items"]}), "longest": min(a["longest"], b["longest"], key=lambda x: (-x[0], x[2], x[1] - x[3], x[1]))}
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: list[str] | None = None, clean_only: bool = False, item: str = "item_id", item_text: str = "text", words_each: int = BLOCK_WORDS) -> DataFrame:

@@ -262,6 +262,15 @@ def test_longest_match_of_repetitive_texts(monkeypatch, held):
     assert found[0]["longest"] == (60, 0, "1", 0)
 
 
+def test_longest_match_is_the_same_in_blocks(spark):
+    one, two = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x y z {two} " + "w " * 85 + one), (2, f"{one} . {two}"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, one), (9, two)], "item_id long, text string").coalesce(1)
+    whole, apart = ({r.doc_id: r.hit_longest_ for r in decontaminate.hits(docs, bench, carry=["doc_id"], words_each=n).collect()} for n in (200_000, 12))
+    assert apart == whole
+    assert (apart[1].words, apart[1].start, apart[1].item, apart[1].item_start) == (12, 100, "7", 0)
+
+
 # packing
 
 
