@@ -14,6 +14,11 @@ range) the step is repeated until it is in the class, which keeps it one to one:
 check. As it depends on key, type and entity only, an entity has the same surrogate in all texts,
 however it is punctuated. `collisions` counts what a check over a whole corpus finds.
 
+Telephone numbers are those with a country code (+ or 00), with a trunk 0, with an area code in
+parentheses or with 9 or more digits in groups; without any of these, 10 digits that begin with 2 to 9, 9
+that begin with 6 to 9, and 7 or 8 digits parted by a hyphen or blank (but no two years). Other bare runs of digits
+are taken as plain numbers, and 7 digits parted by a point as a decimal.
+
 A null text stays null and has no entities. Rows are handled one by one; repeated rows repeat.
 """
 
@@ -164,11 +169,40 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4
 _CARD = re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)|(?<!\w)\(\d{1,5}\) ?\d{5,10}(?!\w)")
+_SEP = r"[ .\-/\u00a0\u202f]"
+#: Groups after a country or area code: short ones, and a long one last, which an extension may follow. None begins a date.
+_GROUPS = rf"(?:{_SEP}(?!(?:19|20)\d\d[-.]\d\d[-.]\d\d(?!\d))\d{{1,5}}(?!\d))"
+_LONG = rf"(?:{_SEP}\d{{6,10}}(?!\d)(?:-\d{{1,5}}(?!\d))?)"
+_PAIRS = rf"(?:{_SEP}?\d\d){{4}}"
+#: (pattern, least and most digits): numbers after a country code, after a trunk 0, and bare ones of 10 (North America) or 9 digits (Spain), or of 7 or 8 with a separator.
+_PHONES = (
+    (re.compile(rf"(?<![\w+])(?:\+|00)33{_SEP}?(?:\(0\){_SEP}?)?[1-9]{_PAIRS}(?!\w)"), 11, 14),
+    (re.compile(rf"(?<![\w+])(?:\+|00(?=[1-9]))\d{{1,3}}(?:{_SEP}?\(\d{{1,5}}\){_SEP}?\d{{1,10}}(?!\d))?{_GROUPS}{{0,6}}{_LONG}?(?!\w)"), 8, 15),
+    (re.compile(rf"(?<![\w+])(?<!\d[.,:/-])(?!\d\d[-./]\d\d[-./](?:19|20)\d\d(?!\d))0[1-9](?:{_PAIRS}|\d{{7,10}}|\d{{0,4}}(?:{_GROUPS}{{1,4}}{_LONG}?|{_LONG}))(?!\w)"), 9, 12),
+)
+_LOCAL = (
+    (re.compile(rf"(?<=\()\d{{2,5}}(?:{_SEP}\d{{2,5}}){{1,4}}(?=\))"), 9, 15),
+    (re.compile(r"(?<![\w+])(?<!\d[.,:/-])(?<!\d )(?!(?:1\d|20)\d\d[ -](?:1\d|20)\d\d(?!\d))\d{3,4}[ \u00a0-]\d{4}(?!\w|[ .,:/-]\d)"), 7, 8),
+    (re.compile(r"(?<![\w+])(?<!\d[.,:/-])(?:[2-9]\d{9}|[6-9]\d{8})(?!\w|[.,:/-]\d)"), 9, 10),
+)
 _DATE = re.compile(r"\d{4}[-.]\d{2}[-.]\d{2}|\d{2}[-.]\d{2}[-.]\d{4}")
 _WORD = r"[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+"
 _NAME = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({_WORD}(?:[ -]{_WORD}){{0,2}})")
 
 
+def _numbers(text: str, pattern: re.Pattern, least: int, most: int):
+    """Spans of telephone numbers; of one that is too long its last groups are left out, and looked at again."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, b = m.span()
+        while sum(map(str.isdigit, text[a:b])) > most and (cut := list(re.finditer(rf"{_SEP}\d+", text[a:b]))):
+            b = a + cut[-1].start()
+        ok = least <= sum(map(str.isdigit, text[a:b])) <= most
+        if ok:
+            yield a, b
+        at = b if ok else a + 1
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all entities, none overlapping; a type earlier in TYPES goes first."""
     taken: list[tuple[int, int, str]] = []
@@ -185,7 +219,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
     add("iban", matches(_IBAN))
     add("card", matches(_CARD))
     add("ssn", matches(_SSN))
+    bare = text
+    for a, b, _ in taken:
+        bare = bare[:a] + "x" * (b - a) + bare[b:]
+    for kind in _PHONES:
+        add("phone", _numbers(bare, *kind))
     add("phone", ((a, b) for a, b in matches(_PHONE) if 9 <= sum(map(str.isdigit, text[a:b])) <= 15 and not _DATE.fullmatch(text[a:b])))
+    for kind in _LOCAL:
+        add("phone", _numbers(bare, *kind))
     if any(t in text for t in TITLES):
         named = [m.span(1) for m in _NAME.finditer(text)]
         words = {w for a, b in named for w in re.findall(r"[^\W\d_]+", text[a:b])}

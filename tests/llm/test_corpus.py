@@ -362,6 +362,38 @@ def test_pii_in_texts(spark):
     assert pii.collisions(told).count() == 0 and told.where("entity = surrogate").count() == 0
 
 
+PHONES = {
+    "en": ["+44 20 7946 0958", "+44 7911 123456", "020 7946 0958", "07911 123456", "5551234567", "555-0271", "555 0271", "(555) 123-4567", "+1 555 1234567", "+15551234567"],
+    "de": ["+49 30 1234567", "030 12345678", "+49 170 1234567", "0170 1234567", "030/1234567", "+49 (0)30 1234567", "0049 30 1234567", "030 1234567-12", "03012345678"],
+    "fr": ["+33 6 12 34 56 78", "06 12 34 56 78", "06.12.34.56.78", "0612345678", "+33 (0)6 12 34 56 78", "+33\u00a06\u00a012\u00a034\u00a056\u00a078"],
+    "es": ["+34 612345678", "+34 612 34 56 78", "612345678", "612 34 56 78", "91 123 45 67"],
+}
+
+
+@pytest.mark.parametrize("lang", PHONES)
+def test_phone_formats(lang):
+    for number in PHONES[lang]:
+        for before, after in (("call ", " now"), ("", ""), ("(", "), 2024-01-02"), ("tel: ", ".")):
+            text = before + number + after
+            if before == "(" == number[0]:
+                continue
+            assert pii.find(text) == [(len(before), len(before) + len(number), "phone")], text
+            new = pii.replace(text)[0]
+            assert new != text and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+    both = " ".join(PHONES[lang][:1] * 2)
+    assert [both[a:b] for a, b, _ in pii.find(both)] == PHONES[lang][:1] * 2
+
+
+@pytest.mark.parametrize("text", ["05.12.2024", "05/12/2024 at 10:30", "2024-01-02", "1998-2004", "1999 2000", "12345678", "1700000000", "123.4567", "3.14159265", "v1.2.3", "1,234,567", "1 234 567", "0.123456789", "id a0301234567", "1234567"])
+def test_other_numbers_are_no_phones(text):
+    assert [x for x in pii.find(f"on {text} it") if x[2] == "phone"] == []
+
+
+def test_phone_beside_other_entities():
+    text = "030 12345678 10.1.2.3 4111 1111 1111 1111"
+    assert [(text[a:b], k) for a, b, k in pii.find(text)] == [("030 12345678", "phone"), ("10.1.2.3", "ip"), ("4111 1111 1111 1111", "card")]
+
+
 def test_pii_query(spark, small_dir, texts):
     rows = QUERIES["op5_pii"](spark, small_dir).collect()
     assert len(rows) == len(texts)
