@@ -10,7 +10,9 @@ A run counts if it holds at least `min_words` words and occurs before: in an ear
 (order: key, nulls first, then a hash of the text) or further up in the same one. It is enough to
 look at the runs that just reach `min_words`, from each line on and back from each line: their
 union is the union of the maximal repeated runs. A run of L lines, 2^k < L <= 2^(k+1), is named by
-the pair of its first and last 2^k lines, so the depths end at min_words lines, however long texts are.
+the pair of its first and last 2^k lines. Words are runs of characters that are no white space, so the depths
+end at min_words lines, however long texts are; only lines of other white space than blanks, which count as
+lines without words, can make a run longer, and depths go on until none is left.
 Every line of a run that occurs before is deleted; blank lines and first copies stay.
 
 Null and empty texts stay as they are. A document all of whose lines went is left with the empty
@@ -29,14 +31,17 @@ from pyspark.sql import functions as F
 from .common import release, shared_folder, small_batches, table
 
 MIN_WORDS = 25
+#: Characters with Unicode's property White_Space that can stand in a line, other than the blank.
+_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _HASH = "text_hash_"
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each non-blank line: key, h (hash of the text), i (number among non-blank lines), two hashes, words."""
+def _lines(docs: DataFrame, key: str, text: str, count: bool = True) -> DataFrame:
+    """One row for each non-blank line: key, h (hash of the text), i (number among non-blank lines), two hashes, words (0 without count)."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    words = lambda x: (F.length(F.trim(x)) - F.length(F.translate(F.trim(x), " ", "")) + 1).cast("int")
-    facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), words(x).alias("w")))
+    blanks = lambda x: F.when(x.rlike(f"[{_SPACES}]"), F.translate(x, _SPACES, " " * len(_SPACES))).otherwise(x)
+    words = lambda x: F.size(F.array_remove(F.split(blanks(x), " "), ""))
+    facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (words(x) if count else F.lit(0)).alias("w")))
     rows = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(facts).alias("i", "f"))
     return rows.select("d", "h", "i", "f.a", "f.b", "f.w")
 
@@ -45,13 +50,13 @@ def _place() -> Column:
     return F.struct("d", "h", "i")
 
 
-def _named(blocks: DataFrame, by: list[str]) -> DataFrame:
+def _named(blocks: DataFrame, by: list[str], places: DataFrame | None = None) -> DataFrame:
     """Adds `name`, the first place of the block's class, and drops classes with one place.
 
     The classes are written before the join: with no aggregate between shuffle and join, Spark can split
-    the partition of a line that a large share of all documents holds.
+    the partition of a line that a large share of all documents holds. `places` are the blocks without what names don't need.
     """
-    classes = blocks.groupBy(*by).agg(F.min(_place()).alias("name"), F.max(_place()).alias("last")).where("name != last").drop("last").checkpoint()
+    classes = (blocks if places is None else places).groupBy(*by).agg(F.min(_place()).alias("name"), F.max(_place()).alias("last")).where("name != last").drop("last").checkpoint()
     return blocks.join(classes, by)
 
 
@@ -132,7 +137,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     shared_folder(spark)
     kind = docs.schema[key].dataType.simpleString()
     place = f"struct<d:{kind},h:bigint,i:int>"
-    state = _named(_lines(docs, key, text), ["a", "b"]).select("d", "h", "i", "name", "w", F.array().cast("array<int>").alias("wants"), F.lit(0).alias("reach")).checkpoint()
+    state = _named(_lines(docs, key, text), ["a", "b"], _lines(docs, key, text, count=False)).select("d", "h", "i", "name", "w", F.array().cast("array<int>").alias("wants"), F.lit(0).alias("reach")).checkpoint()
     found = None
     depth = 1
     while True:
@@ -147,7 +152,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         depth *= 2
         state = named.where((F.col("size") == depth) & (F.col("reach") > 0)).select("d", "h", "i", "name", F.lit(0).alias("w"), "wants", "reach")
         release(spark)
-        if depth >= min_words or state.isEmpty():
+        if state.isEmpty():
             return found
 
 

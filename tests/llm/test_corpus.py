@@ -165,6 +165,18 @@ def test_line_dedup_equals_brute_force(spark, least):
     assert left.count() == sum(not (d and d == n) for _, n, d in (want[k, t] for k, t in rows))
 
 
+@pytest.mark.parametrize("blank", ["\t", "\u00a0", "\u3000", "  ", " \t "])
+def test_line_dedup_counts_words(spark, blank):
+    said = lambda name, *sizes: "\n".join(blank.join(f"{name}{k}x{i}" for i in range(n)) for k, n in enumerate(sizes))
+    gap = "\n" + "\t\n" * 40  # lines without words do not count
+    bodies = {1: said("a", 20, 20, 20), 2: said("b", 12, 13), 3: said("c", 12, 12), 4: said("d", 12) + gap + said("e", 13), 5: said("f", 12) + gap + said("g", 12)}
+    rows = [(10 * k + copy, f"own {k} {copy}\n{t}") for k, t in bodies.items() for copy in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_deleted) for r in lines.dedup(df).collect()}
+    gone = {11: 3, 21: 2, 41: 42}
+    assert got == {k: (t.split("\n")[0] if k in gone else t, gone.get(k, 0)) for k, t in rows}
+
+
 def test_line_dedup_query(spark, small_dir, texts):
     hashes = {(r.doc_id, r.text): r.x for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("x")).collect()}
     want = without_copies([(k, hashes[k, t], t) for k, t in texts], lines.MIN_WORDS)
