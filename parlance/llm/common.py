@@ -131,9 +131,24 @@ def spans_where(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Where checkpoint() writes: the session's spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Where checkpoint() writes: the session's spark.checkpoint.dir. Only on one machine, as in tests, may it be unset: there a folder in the warehouse does."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that none of the taken ones equals in any case of its letters."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def eq(left: str, right: str) -> Column:
@@ -152,3 +167,19 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(min(1.0, (1.2 * most + 200) / n) * (1 << 30)))
     return rows.orderBy(F.xxhash64(key), key).limit(most)
+
+
+def sample_labels(labels: DataFrame, label: str, most: dict[int, int], key: str = "doc_id") -> DataFrame:
+    """key, label of at most most[y] distinct keys of each label y, picked by hash."""
+    rows = labels.select(key, F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull()).distinct()
+    parts = [bounded_sample(rows.where(F.col("label") == y), key, n) for y, n in most.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
+def labelled_texts(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """text, label of the documents of `known` (key, label; few rows, as sample_labels gives). A key that repeats counts once, with the least of its texts."""
+    both = docs.select(key, text).join(F.broadcast(known), key)  # as many rows as the sample's bound
+    return both.groupBy(key, "label").agg(F.min(text).alias("text")).select("text", "label")

@@ -15,19 +15,25 @@ How it stays exact and linear:
 3. Of the classes that stay, shingles are counted in full and each set is put in the order rarest
    first. What no other set holds needs no index entry: only shared shingles are kept.
 4. Index lists hold (class, size, position) for the first n - ceil(.75 n) + 1 positions. Lists of equal
-   members (told by two 64-bit sums) are kept once. A position
-   bounds the overlap that is still possible, so blocks of a list whose positions are too late for a
-   pair's sizes are skipped before any set is read.
-5. Answers are derived from those of a similar set: in each list all members are compared with one
-   set (the list's first by class), and the overlaps are kept. Members that end up in one component
-   are not compared with each other at all; for two that do not, the overlaps with the common set bound
-   theirs, and pairs that can't reach the threshold are skipped. Lists with members of several components
-   go on with more sets (FIRST_PIVOTS of them, then four times as many, and so on), until every list is one component or compared whole.
-   With `links` components leave nothing out: every list is compared whole, but for pairs that the bounds rule out.
+   members (told by two 64-bit sums) are kept once. In each list all members are compared with one set,
+   its pivot: the one whose shared shingles begin earliest, which is the least altered of a group of copies.
+   Members that end up in one component are done.
+5. Lists with members of several components stay open. Their members stand in blocks of about BLOCK_ROWS,
+   of alike sizes and positions; a block tells its range of sizes, the overlap that its positions leave
+   possible and whether it is of one component. Some members (FIRST_PIVOTS of a list by hash, in the next
+   round GROWTH times as many, and so on until all have had their turn) are compared with the members of those blocks that are
+   not skipped by these.
+6. Answers are derived from those of the pivot: with |A & P| and |B & P| known, |A & B| is at least
+   |A & P| + |B & P| - |P| and at most min(|A & P|, |B & P|) + min(|A - P|, |B - P|). Pairs whose least is enough are
+   links, and pairs whose most is too little are none, without a look at the sets. Only those between are
+   compared shingle by shingle, each once.
+   With `links` components leave nothing out: all members of all lists are compared, but for pairs that the bounds decide.
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and their own
 component. Rows that repeat key and text are one document. A null key is never the smallest id of a
-component that has others; alone, its component is null.
+component that has others; alone, its component is null. Very long texts are read in pieces of bounded memory, and
+their sets travel as one value each. An empty table gives an empty result. Columns of docs other than key
+and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK, lower_ascii, mix, pieces, release, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
+from .common import MASK, free_names, lower_ascii, mix, pieces, release, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
 
 WORDS = 5
 #: The threshold as a fraction: links from 75 / 100 on.
@@ -48,8 +54,10 @@ FLUSH, FLUSH_DOCS = 1_000_000, 60_000
 NONE = np.uint16(0xFFFF)
 #: Representatives up to which the list of them is broadcast (16 bytes each); beyond, documents are joined by shuffling.
 BROADCAST_ROWS = 500_000
-#: Sets of a list that are compared with all its others in the second round.
-FIRST_PIVOTS = 16
+#: Members of an open list that are compared with all its others in the first such round, about, and by how much more in each next.
+FIRST_PIVOTS, GROWTH = 16, 64
+#: Members of a block of an open list, about.
+BLOCK_ROWS = 256
 #: Links up to which one task joins them to components; beyond, tasks pass labels along links.
 ONE_TASK_LINKS = 500_000
 #: Sets that a verification task compares with one set, about, before it is split.
@@ -450,55 +458,76 @@ def _classes(sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame
     listed = _postings(sets)
     # lists of the same members stand for one: that of their first token, which leaves most room for a link
     members = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    counted = listed.groupBy("token").agg(F.count("*").alias("many"), *members, F.min(F.struct("class", "n", "pos")).alias("p")).where("many > 1")
+    pivot = F.min_by(F.struct("class", "n", "pos"), F.struct(F.col("pos") / F.col("n"), "class")).alias("p")
+    counted = listed.groupBy("token").agg(F.count("*").alias("many"), *members, pivot).where("many > 1")
     counted = counted.groupBy("many", "m1", "m2").agg(F.min_by(F.struct("token", "p"), F.struct("p.pos", "token")).alias("l")).select("l.token", "l.p")
-    # the overlap with the list's first set (null: not compared) comes with each member for the bounds of later rounds
     lists = listed.join(counted, "token").where("class != p.class").select("token", "class", "n", "pos", "p").checkpoint()
-    pairs = lists.select("token", F.struct("class", "n", "pos").alias("e"), "p").where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
+    pairs = lists.select(F.struct("class", "n", "pos").alias("e"), "p").where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
     seen = _verify(pairs, sets).checkpoint()
     links = seen.where("linked").select("x", "y")
     labels = _merged(sets.select("class", F.col("class").alias("comp")), links)
-    member = lists.select("token", "class", "n", "pos", F.col("p.class").alias("x"))
-    open_ = member.join(seen.select("x", F.col("y").alias("class"), "overlap"), ["x", "class"], "left")
-    compared, pivots = seen.select("x", "y"), FIRST_PIVOTS
+    member = lists.select("token", "class", "n", "pos", F.col("p.class").alias("x"), F.col("p.n").alias("pivot_n"))
+    # the overlap with the list's pivot (null: not compared) goes with each member; `turn` is when it is compared with the others
+    open_ = member.join(seen.select("x", F.col("y").alias("class"), "overlap"), ["x", "class"], "left").drop("x").withColumn("turn", F.pmod(F.xxhash64("class", F.lit(11)), F.lit(TURNS)))
+    compared, pivots = seen.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), FIRST_PIVOTS
     while True:
-        told = open_.withColumn("comp", F.col("class")) if every else open_.drop("comp").join(labels, "class")
-        several = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-        open_ = told.join(several, "token", "left_semi").checkpoint()
+        told = open_.withColumn("comp", F.col("class")) if every else open_.join(labels, "class")
+        several = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low != high").select("token", "many")
+        told = told.join(several, "token").checkpoint()
         release(spark)
-        if open_.isEmpty():
+        if told.isEmpty():
             return (_merged(labels, links) if every else labels), links
-        heads = open_.withColumn("rank", F.row_number().over(_list_order())).where(F.col("rank") <= pivots)
-        head = heads.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("a"))
-        tail = open_.select("token", F.struct("class", "n", "pos", "comp", "overlap").alias("b"))
-        after = F.struct("a.n", "a.class") < F.struct("b.n", "b.class")  # a list's order: each pair once
-        both = head.join(tail, "token").where(after & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & _derivable())
-        pairs = both.select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y")).distinct()
-        pairs = pairs.join(compared, ["x", "y"], "left_anti").checkpoint()
-        open_ = open_.join(heads.select("token", "class"), ["token", "class"], "left_anti").checkpoint()  # the next round reads it twice
-        pivots *= 4
+        now = F.col("many") * F.col("turn") < F.lit(pivots * TURNS)
+        both = told.where(now).select("token", "pivot_n", _member("a")).join(_blocks(told), "token").where(_block_possible("a"))
+        both = both.select("a", "pivot_n", F.explode("members").alias("b"))
+        after = F.struct("a.turn", "a.class") < F.struct("b.turn", "b.class")  # those whose turn was are gone: each pair once
+        both = both.where(after & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & (_most() >= _needed(F.col("a.n"), F.col("b.n"))))
+        pairs = both.select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y"), (_least() >= _needed(F.col("a.n"), F.col("b.n"))).alias("sure"))
+        pairs = pairs.groupBy("x", "y").agg(F.bool_or("sure").alias("sure")).join(compared, ["x", "y"], "left_anti").checkpoint()
+        open_ = told.where(~now).drop("comp", "many")
+        pivots *= GROWTH
         if not pairs.isEmpty():
-            compared = compared.unionAll(pairs)
-            new = _verify(pairs, sets).where("linked").select("x", "y")
+            compared = compared.unionAll(pairs.select("x", "y"))
+            checked = _verify(pairs.where(~F.col("sure")), sets).where("linked").select("x", "y")
+            new = pairs.where("sure").select("x", "y").unionAll(checked)
             new = new.checkpoint() if every else new
             links = links.unionAll(new)
             labels = labels if every else _merged(labels, new)
 
 
-def _list_order():
-    from pyspark.sql import Window
+TURNS = 1 << 31
 
-    return Window.partitionBy("token").orderBy("n", "class")
 
+def _member(name: str) -> Column:
+    return F.struct("class", "n", "pos", "comp", "overlap", "turn").alias(name)
 
-def _derivable() -> Column:
-    """Whether the overlaps of a and b with the list's first set leave room for a link between them (unknown ones do).
 
-    |A & B| is at most what both share with that set, plus what either has outside it.
-    """
+def _blocks(open_: DataFrame) -> DataFrame:
+    """The members of each open list in blocks of alike sizes and positions, with what decides whether a block is skipped."""
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DOWN / UP)))
+    place = F.floor(8 * F.col("pos") / F.col("n"))
+    part = F.pmod(F.xxhash64("class", F.lit(12)), F.ceil(F.col("many") / BLOCK_ROWS))  # however long a list is
+    return open_.groupBy("token", size.alias("size"), place.alias("place"), part.alias("part")).agg(
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("room"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(_member("m")).alias("members")
+    )
+
+
+def _block_possible(a: str) -> Column:
+    """Whether some member of a block may link with a and is of another component."""
+    n = F.col(f"{a}.n")
+    fits = (n * DOWN >= F.col("least_n") * UP) & (F.col("most_n") * DOWN >= n * UP) & (F.least(n - F.col(f"{a}.pos"), F.col("room")) >= _needed(n, F.greatest(F.col("least_n"), F.ceil(n * UP / DOWN))))
+    return fits & ((F.col("low") != F.col(f"{a}.comp")) | (F.col("high") != F.col(f"{a}.comp")))
+
+
+def _most() -> Column:
+    """What a and b share at most: what both share with their list's pivot, and what either has outside it. Unknown: all of the smaller."""
     a, b = F.col("a"), F.col("b")
-    most = F.least(a["overlap"], b["overlap"]) + F.least(a["n"] - a["overlap"], b["n"] - b["overlap"])
-    return F.coalesce(most >= _needed(a["n"], b["n"]), F.lit(True))
+    return F.coalesce(F.least(a["overlap"], b["overlap"]) + F.least(a["n"] - a["overlap"], b["n"] - b["overlap"]), F.least(a["n"], b["n"]))
+
+
+def _least() -> Column:
+    """What a and b share at least: the parts of the pivot that they hold can't lie apart. F.least leaves out nulls, the sum does not."""
+    return F.coalesce(F.col("a.overlap") + F.col("b.overlap") - F.col("pivot_n"), F.lit(0))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
@@ -548,9 +577,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rank = F.struct(F.col("d").isNull().alias("no"), "d", "h")
     stay = found.groupBy(group.alias("g")).agg(F.min(rank).alias("k")).select(F.col("k.d").alias("stay_d"), F.col("k.h").alias("stay_h"))
     names = docs.columns
-    held = docs.withColumns({"key_": F.col(key).cast("bigint"), "hash_": F.xxhash64(text)})
-    both = held.join(stay, F.col("key_").eqNullSafe(F.col("stay_d")) & (F.col("hash_") == F.col("stay_h")), "left_semi")
-    return both.dropDuplicates(["key_", "hash_"]).select(*[F.col(f"`{c}`") for c in names])
+    own, sum_ = free_names(names, "key", "hash")
+    held = docs.withColumns({own: F.col(f"`{key}`").cast("bigint"), sum_: F.xxhash64(f"`{text}`")})
+    both = held.join(stay.toDF("stay d", "stay h"), F.col(own).eqNullSafe(F.col("`stay d`")) & (F.col(sum_) == F.col("`stay h`")), "left_semi")
+    return both.dropDuplicates([own, sum_]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, mix, pieces, small_batches, span_hashes, spans_where, table, text_buffers
-from .toxicity import sample_labels
+from .common import fold, labelled_texts, mix, pieces, sample_labels, small_batches, span_hashes, spans_where, table, text_buffers
 
 #: Buckets for words and word pairs, and for n-grams.
 WORD_BUCKETS = GRAM_BUCKETS = 1 << 15
 WIDTH, EPOCHS, RATE = 8, 6, 4.0
-#: Labelled rows that train the model, at most, of either label; one in five is kept back.
-SAMPLE_GOOD, SAMPLE_BAD = 1000, 1000
+#: Labelled documents that train the model, at most, of either label; one in five is kept back.
+SAMPLE_GOOD, SAMPLE_BAD = 2500, 2000
+#: (bucket, weight) pairs of 8 bytes that training holds, at most, half of them of either label; documents beyond are left out, in the order of a hash.
+SAMPLE_PAIRS = 1 << 25
 #: The score from which a document is good.
 THRESHOLD = 0.7
 
@@ -127,19 +128,19 @@ def train(bags: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray,
     return vectors, out
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", prior: float | None = None) -> QualityModel:
-    """From a table of few labelled texts (label 1 good). prior: the share of label 1 among all labelled rows."""
-    small_batches(labelled.sparkSession)
-    rows = labelled.select(text, F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
-    seen = [(r.label, np.frombuffer(r.bag, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows.mapInArrow(_bags, "label int, bag binary, weights binary").collect()]
-    seen.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+def _flat(share: float) -> QualityModel:
+    """The model that gives every text the same score."""
+    return QualityModel(np.zeros(WORD_BUCKETS), np.zeros(GRAM_BUCKETS), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+
+
+def _learn(seen: list[tuple[int, np.ndarray, np.ndarray]], prior: float | None) -> QualityModel:
+    """From (label, buckets, weights) of documents."""
     labels = np.array([r[0] for r in seen], np.int64)
-    flat = QualityModel(np.zeros(WORD_BUCKETS), np.zeros(GRAM_BUCKETS), 0.0, 0.0)
     if len(set(labels.tolist())) < 2:
-        share = labels.mean() if len(labels) else 1.0
-        flat.offset = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-        return flat
-    held = np.arange(len(seen)) % 5 == 4
+        return _flat(labels.mean() if len(labels) else 1.0)
+    held = np.zeros(len(seen), bool)
+    for y in (0, 1):  # one in five of either label
+        held[np.flatnonzero(labels == y)[4::5]] = True
     bags, weights = [r[1] for r in seen], [r[2] for r in seen]
     own = [i for i in range(len(seen)) if not held[i]]
     vectors, out = train([bags[i] for i in own], [weights[i] for i in own], labels[own])
@@ -148,8 +149,36 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", prior: fl
     prior = labels.mean() if prior is None else prior
     weight = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
     check = held if 0 < labels[held].sum() < held.sum() else ~held
-    slope, offset = _platt(z[check], labels[check], weight[check])
-    return QualityModel(scalar[:WORD_BUCKETS], scalar[WORD_BUCKETS:], slope, offset)
+    return QualityModel(scalar[:WORD_BUCKETS], scalar[WORD_BUCKETS:], *_platt(z[check], labels[check], weight[check]))
+
+
+def _trainer(prior: float | None):
+    """One task's work: rows (label, bag, weights) in a fixed order to one row with the model."""
+
+    def run(batches):
+        seen, room = [], {0: SAMPLE_PAIRS // 2, 1: SAMPLE_PAIRS // 2}
+        for batch in batches:
+            for label, bag, weights in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                room[label] -= len(bag) // 4
+                if room[label] >= 0:
+                    seen.append((label, np.frombuffer(bag, np.int32), np.frombuffer(weights, np.float32)))
+        model = _learn(seen, prior)
+        values = np.r_[model.words, model.grams, model.slope, model.offset]
+        yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary())], ["model"])
+
+    return run
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", prior: float | None = None) -> QualityModel:
+    """From a table of few labelled texts (label 1 good). prior: the share of label 1 among all labelled rows."""
+    small_batches(labelled.sparkSession)
+    rows = labelled.select(F.col(f"`{text}`"), F.col(f"`{label}`").cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    bags = rows.mapInArrow(_bags, "label int, bag binary, weights binary")
+    told = bags.repartition(1).sortWithinPartitions(F.xxhash64("bag", "weights"), "label", "bag", "weights").mapInArrow(_trainer(prior), "model binary").first()
+    if told is None:
+        return _flat(1.0)
+    values = np.frombuffer(told.model)
+    return QualityModel(values[:WORD_BUCKETS], values[WORD_BUCKETS:-2], float(values[-2]), float(values[-1]))
 
 
 def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -189,8 +218,7 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> QualityModel:
     own = labels.where(fold(F.col("doc_id"), 4) != 2)
     known = sample_labels(own, "quality", {1: SAMPLE_GOOD, 0: SAMPLE_BAD})
     prior = own.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most SAMPLE_GOOD + SAMPLE_BAD rows
-    return fit(labelled, prior=prior)
+    return fit(labelled_texts(docs, known), prior=prior)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

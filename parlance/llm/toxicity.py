@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, pieces, small_batches, spans_where, table, text_buffers
+from .common import fold, labelled_texts, pieces, sample_labels, small_batches, spans_where, table, text_buffers
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Word lists of the grammar, for the four languages.
@@ -271,16 +271,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
     return tuple(c.tolist())
 
 
-def sample_labels(labels: DataFrame, label: str, most: dict[int, int], key: str = "doc_id") -> DataFrame:
-    """key, label of at most most[y] distinct rows of each label y, picked by hash."""
-    rows = labels.select(key, F.col(label).cast("int").alias("label")).where(F.col(key).isNotNull()).distinct()
-    parts = [bounded_sample(rows.where(F.col("label") == y), key, n) for y, n in most.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
-
-
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score, the probability of being toxic, for every row."""
     small_batches(docs.sparkSession)
@@ -296,6 +286,5 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = sample_labels(table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0), "toxic", {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN})
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows
-    found = score(docs, fit(labelled))
+    found = score(docs, fit(labelled_texts(docs, known)))
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
