@@ -6,11 +6,14 @@ begins a window (10 words; a shorter item is one window) is binary-searched in e
 gives its occurrences; windows that follow each other in a document and in an item join into the
 longest verbatim matches. Suffixes are ordered to a depth of 16 words, beyond which no search looks.
 
-Benchmark texts reach the tasks in blocks of at most BLOCK_WORDS words; every block passes over all
-documents, whose hits so far travel with them, so nothing is shuffled.
+Benchmark texts reach the tasks in a block of at most BLOCK_WORDS words (or one longer item): a bounded broadcast.
+A shard's suffix array is built once for it, and nothing is shuffled. A larger benchmark takes a pass for each
+block; the driver holds one block at a time, and the documents with their hits so far are written in between.
 
 Null and empty texts have no words and are clean. A null item_id counts as the id `null`; items
-without words are in nothing. Rows repeat their result. Each row is judged by itself.
+without words are in nothing. Rows repeat their result. Each row is judged by itself; very long texts
+are shards of their own. Empty tables give an empty result, or nothing but clean documents. Columns of docs
+keep their names; the columns added get a _ after theirs where docs have such a column.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, pieces, small_batches, span_hashes, spans_where, table, text_buffers
+from .common import free_names, lower_ascii, pieces, shared_folder, small_batches, span_hashes, spans_where, table, text_buffers
 
 WINDOW = 10
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 500_000
 DEPTH = 16
 #: Matches (place in a document, offset in an item) that are held at once when runs are measured; longer lists go in parts.
 HELD = 1_000_000
@@ -80,21 +83,21 @@ class Block:
         items = sorted(set(items))
         raw, bounds = text_buffers(pa.array([t for _, t in items], pa.string()))
         h, first = words(raw, bounds)
-        found: dict[bytes, list[tuple[int, int]]] = {}
-        for i in range(len(items)):
-            own = h[first[i] : first[i + 1]]
-            size = min(window, len(own))
-            for k in range(len(own) - size + 1 if size else 0):
-                found.setdefault(own[k : k + size].tobytes(), []).append((i, k))
         self.names = [n for n, _ in items]
-        keys = list(found)
-        self.size = np.array([len(k) // 8 for k in keys], np.int64)
-        self.words = np.zeros((len(keys), window), np.uint64)
-        for i, k in enumerate(keys):
-            self.words[i, : len(k) // 8] = np.frombuffer(k, np.uint64)
-        places = [(i, item, k) for i, key in enumerate(keys) for item, k in found[key]]
-        self.uses = np.array(places, np.int64).reshape(-1, 3)
-        self.first_use = np.searchsorted(self.uses[:, 0], np.arange(len(keys) + 1))
+        size = np.minimum(np.diff(first), window)
+        many = np.where(size > 0, np.diff(first) - size + 1, 0)
+        text = np.repeat(np.arange(len(items)), many)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        rows = np.zeros((len(text), window + 1), np.uint64)  # the window's words and, last, their number
+        rows[:, window] = size[text]
+        for j in range(window):
+            own = np.flatnonzero(j < size[text])
+            rows[own, j] = h[first[text[own]] + k[own] + j]
+        _, lead, which = np.unique(rows.view(np.dtype((np.void, 8 * (window + 1)))).ravel(), return_index=True, return_inverse=True)
+        self.words, self.size = rows[lead, :window], rows[lead, window].astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        self.uses = np.stack([which[order], text[order], k[order]], 1).astype(np.int64)
+        self.first_use = np.searchsorted(self.uses[:, 0], np.arange(len(lead) + 1))
         self.size_of = np.minimum(np.diff(first), window)  # of each text
 
     def search(self, order: np.ndarray, number: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,13 +106,13 @@ class Block:
         none = np.zeros(0, np.int64)
         if not n or not len(self.size):
             return none, none
-        at = np.searchsorted(vocabulary, self.words)
-        at = np.minimum(at, len(vocabulary) - 1)
-        needed = np.arange(width) < self.size[:, None]
-        here = np.flatnonzero(((vocabulary[at] == self.words) | ~needed).all(1))
-        if not len(here):
-            return none, none
-        want, size = at[here], self.size[here]
+        here = np.arange(len(self.size))
+        for j in range(width):  # windows all of whose words are in the shard
+            at = np.minimum(np.searchsorted(vocabulary, self.words[here, j]), len(vocabulary) - 1)
+            here = here[(vocabulary[at] == self.words[here, j]) | (j >= self.size[here])]
+            if not len(here):
+                return none, none
+        want, size = np.searchsorted(vocabulary, self.words[here]), self.size[here]
         padded = np.r_[number, np.full(width, -1)]
 
         def bound(past: bool) -> np.ndarray:
@@ -217,11 +220,12 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", word
     held: list[tuple[str, str]] = []
     size = 0
     for name, body in rows.toLocalIterator():
-        held.append((name, body))
-        size += body.count(" ") + body.count("\n") + 1
-        if size >= words_each:
+        n = int(words(*text_buffers(pa.array([body])))[1][-1])
+        if held and size + n > words_each:
             yield Block(held)
             held, size = [], 0
+        held.append((name, body))
+        size += n
     if held:
         yield Block(held)
 
@@ -249,21 +253,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", carry: list[
 
     clean_only: only rows without hits, and only their carried columns.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     carry = docs.columns if carry is None else carry
-    found = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("hit_text_"))
-    for block in list(blocks(benchmark, item, item_text, words_each)) or [Block([])]:
-        found = _pass(found, block, carry, clean_only)
-    return found.select(*[F.col(f"`{c}`") for c in carry], *([] if clean_only else _PUT))
+    found = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry)], F.col(f"`{text}`").alias("text"))
+    passes = blocks(benchmark, item, item_text, words_each)
+    found = _pass(found, next(passes, Block([])), len(carry), clean_only)
+    for block in passes:
+        shared_folder(spark)
+        found = _pass(found.checkpoint(), block, len(carry), clean_only)
+    return found.drop("text").toDF(*carry, *([] if clean_only else free_names(carry, *_PUT)))
 
 
-def _pass(docs: DataFrame, block: Block, carry: list[str], clean_only: bool) -> DataFrame:
-    again = _PUT[0] in docs.columns
+def _pass(docs: DataFrame, block: Block, carried: int, clean_only: bool) -> DataFrame:
+    """Searches a block in `carried` columns, the text and, after an earlier pass, what that found."""
+    again = len(docs.columns) > carried + 1
 
     def run(batches):
         for batch in batches:
-            column = batch.column(len(carry))
-            raw, bounds = text_buffers(column)
+            raw, bounds = text_buffers(batch.column(carried))
             for a, b in pieces(bounds):
                 part, at = raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]
                 found = find(block, part, at)
@@ -274,15 +282,15 @@ def _pass(docs: DataFrame, block: Block, carry: list[str], clean_only: bool) ->
                 counts = np.diff(words(part, at)[1])
                 states = [found.get(i) for i in range(b - a)]
                 if again:
-                    old = zip(*(kept.column(len(carry) + 1 + k).to_pylist() for k in range(3)), strict=True)
+                    old = zip(*(kept.column(carried + 1 + k).to_pylist() for k in range(3)), strict=True)
                     states = [_join({"ranges": r, "items": i, "longest": tuple(m.values())} if r else None, s) for (r, i, m), s in zip(old, states, strict=True)]
                 longest = [s and dict(zip(("words", "start", "item", "item_start"), s["longest"], strict=True)) for s in states]
                 values = ([s["ranges"] if s else [] for s in states], [s["items"] if s else [] for s in states], longest, counts.tolist())
-                yield pa.RecordBatch.from_arrays([*kept.columns[: len(carry) + 1], *(pa.array([list(map(list, x)) for x in v] if k == 0 else v, kind) for k, (v, kind) in enumerate(zip(values, _KINDS, strict=True)))], [*kept.schema.names[: len(carry) + 1], *_PUT])
+                yield pa.RecordBatch.from_arrays([*kept.columns[: carried + 1], *(pa.array([list(map(list, x)) for x in v] if k == 0 else v, kind) for k, (v, kind) in enumerate(zip(values, _KINDS, strict=True)))], [*kept.schema.names[: carried + 1], *_PUT])
 
     from pyspark.sql.types import StructType
 
-    base = StructType(docs.schema.fields[: len(carry) + 1])
+    base = StructType(docs.schema.fields[: carried + 1])
     schema = base if clean_only else StructType([*base.fields, *(f for f in _parsed().fields)])
     return docs.mapInArrow(run, schema)
 
@@ -299,10 +307,10 @@ def _parsed():
 
 def digest(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated and the longest match (0 words, -1 and the empty text for none) for every row."""
-    found = hits(docs.select(F.col(key).alias(key), F.col(text).alias("text")), benchmark, carry=[key])
+    found = hits(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")), benchmark, carry=["k"])
     n_hit = F.aggregate("hit_ranges_", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
     return found.select(
-        key,
+        F.col("k").alias(key),
         F.col("hit_words_").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("hit_items_").cast("long").alias("n_items"),

@@ -18,7 +18,8 @@ Every line of a run that occurs before is deleted; blank lines and first copies
 Null and empty texts stay as they are. A document all of whose lines went is left with the empty
 text; `dedup(..., drop_emptied=True)` drops it instead. Rows that repeat both key and text are
 one document: each gets the same result. Counts that travel are per class and place, so that a line
-that is in every document is one row per document, never a list.
+that is in every document is one row per document, never a list. A text is split by the JVM and its lines travel as
+rows, so a very long one is bounded by the size of a row only. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, shared_folder, small_batches, table
+from .common import free_names, release, shared_folder, small_batches, table
 
 MIN_WORDS = 25
 #: Characters with Unicode's property White_Space that can stand in a line, other than the blank.
 _SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_HASH = "text_hash_"
 
 
 def _lines(docs: DataFrame, key: str, text: str, count: bool = True) -> DataFrame:
@@ -42,7 +42,7 @@ def _lines(docs: DataFrame, key: str, text: str, count: bool = True) -> DataFram
     blanks = lambda x: F.when(x.rlike(f"[{_SPACES}]"), F.translate(x, _SPACES, " " * len(_SPACES))).otherwise(x)
     words = lambda x: F.size(F.array_remove(F.split(blanks(x), " "), ""))
     facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (words(x) if count else F.lit(0)).alias("w")))
-    rows = docs.select(F.col(key).alias("d"), F.xxhash64(text).alias("h"), F.posexplode(facts).alias("i", "f"))
+    rows = docs.select(F.col(f"`{key}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.posexplode(facts).alias("i", "f"))
     return rows.select("d", "h", "i", "f.a", "f.b", "f.w")
 
 
@@ -170,12 +170,13 @@ def _without(text: str, runs: list) -> tuple[str, int]:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, drop_emptied: bool = False, counts: bool = True) -> DataFrame:
-    """docs with later copies of repeated runs deleted from the text; counts: adds n_lines (non-blank, before) and n_deleted."""
+    """docs with later copies of repeated runs deleted from the text; counts: adds n_lines (non-blank, before) and n_deleted (with a _ after the name where docs have such a column)."""
     small_batches(docs.sparkSession)
-    runs = repeated_runs(docs, key, text, min_words).groupBy("d", "h").agg(F.collect_set(F.struct("i", "size")).alias("runs_")).withColumnsRenamed({"d": "run_key_", "h": "run_hash_"})
     names = docs.columns
-    held = docs.withColumn(_HASH, F.xxhash64(text))
-    joined = held.join(runs, F.col(f"`{key}`").eqNullSafe(F.col("run_key_")) & (F.col(_HASH) == F.col("run_hash_")), "left").select(*[F.col(f"`{c}`") for c in names], "runs_")
+    hash_, runs_key, runs_hash, found = free_names(names, "hash", "run_key", "run_hash", "runs")
+    runs = repeated_runs(docs, key, text, min_words).groupBy("d", "h").agg(F.collect_set(F.struct("i", "size")).alias("r")).toDF(runs_key, runs_hash, found)
+    held = docs.withColumn(hash_, F.xxhash64(F.col(f"`{text}`")))
+    joined = held.join(runs, F.col(f"`{key}`").eqNullSafe(F.col(runs_key)) & (F.col(hash_) == F.col(runs_hash)), "left").select(*[F.col(f"`{c}`") for c in names], found)
     place = names.index(text)
 
     def run(batches):
@@ -201,7 +202,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
 
     fields = [StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
     extra = [StructField(n, LongType()) for n in ("n_lines", "n_deleted")] if counts else []
-    return joined.mapInArrow(run, StructType(fields + extra)).toDF(*names, *(f.name for f in extra))
+    return joined.mapInArrow(run, StructType(fields + extra)).toDF(*names, *free_names(names, *(f.name for f in extra)))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
