@@ -6,16 +6,17 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.intent import CONFIDENT, DEFAULT, PATTERN_FACTOR, RULES
+from parlance.functions.intent import CONFIDENT, DEFAULT, PATTERN_FACTOR, RULES, SCORED, UNSCORED
 from parlance.functions.text import collection, language, tokens
+from parlance.operators.embedding import DENSE
 from parlance.operators import chunks, expand, intent, parsing, render, rerank, search, sessions, turns
 from parlance.plans.index import index, indexed_chunks
 from parlance.plans.retrieve import retrieve
 from parlance.sources import store
-from parlance.sources.tables import conversation_messages, table
+from parlance.sources.tables import conversation_messages, shared_folder, spread, table
 from parlance.sources.transcripts import EVENT_NAMES, parse_events, rejected, route
 from parlance.streaming.events import pending_pairs, run_available
 
@@ -85,7 +86,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'),
     SELECT qid, id, pos, score FROM s"""
 )
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("sparse"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("sparse"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tokens(F.col("text")).alias("sparse"))
     return search.sparse_topk(docs, asked, 2 * LIMIT).select("qid", "id", "pos", "score")
 
@@ -201,12 +202,12 @@ _SCORED = f"s AS (SELECT conv_id, turn, {_scores_sql('text')} FROM conversations
 
 @query(f"WITH {_SCORED} SELECT * FROM s")
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intent.rule_scores(table(spark, sf_dir, "conversations")).drop("role", "text")
+    return intent.rule_scores(spread(table(spark, sf_dir, "conversations"))).drop("role", "text")
 
 
 @query(f"WITH {_SCORED} SELECT conv_id, turn, {_LABEL} AS category, {_GREATEST} AS confidence FROM s")
 def intent_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intent.classify(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "category", "confidence")
+    return intent.classify(spread(table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "category", "confidence")
 
 
 @query(
@@ -214,7 +215,7 @@ def intent_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN {_GREATEST} >= {CONFIDENT} THEN 'rule_based' ELSE 'llm_based' END AS method FROM s"""
 )
 def intent_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intent.cascade(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "category", "confidence", "method")
+    return intent.cascade(spread(table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "category", "confidence", "method")
 
 
 #: Prompts of each category in both languages, a tie and one without a hit.
@@ -227,10 +228,10 @@ PROMPTS = (
 )
 
 
-@query(f"WITH p AS (SELECT unnest(range({len(PROMPTS)}))::INT AS n, unnest([{', '.join(map(_sql_text, PROMPTS))}]) AS prompt), s AS (SELECT n, prompt, {_scores_sql('prompt')} FROM p) SELECT n, prompt, {_LABEL} AS category, {_GREATEST} AS confidence FROM s")
+@query(f"WITH p AS (SELECT unnest(range({len(PROMPTS)}))::INT AS n, unnest([{', '.join(map(_sql_text, PROMPTS))}]) AS prompt), s AS (SELECT n, prompt, {_scores_sql('prompt')} FROM p) SELECT n, prompt, {_LABEL} AS category, {_GREATEST} AS confidence, CASE WHEN {_GREATEST} > 0 THEN printf('{SCORED}', {_GREATEST}) ELSE '{UNSCORED}' END AS reasoning FROM s")
 def intent_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(PROMPTS)), "n int, prompt string")
-    return intent.classify(rows, "prompt").select("n", "prompt", "category", "confidence")
+    return intent.classify(rows, "prompt").select("n", "prompt", "category", "confidence", "reasoning")
 
 
 # expansion: users are parents, their events children, event types files
@@ -424,23 +425,25 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder among those that driver and executors share."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4()}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
-@query()
+@query(
+    f"""WITH {_MESSAGES}, c AS (SELECT session_id, turn_no, string_agg({_LINE}, '' ORDER BY msg_no) AS text FROM n GROUP BY ALL), s AS (SELECT session_id, turn_no, text, {_scores_sql("text")} FROM c)
+    SELECT session_id, turn_no, 0 AS chunk_no, sha256('conversations:' || session_id || ':' || turn_no) AS chunk_id, CASE WHEN {_GREATEST} >= {CONFIDENT} THEN {_LABEL} ELSE '{DEFAULT}' END AS type, {DENSE} AS n_dense, len(list_distinct({_TOKENS.format("text")})) AS n_sparse FROM s"""
+)
 def index_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed_chunks(_messages(spark, sf_dir)).select("session_id", "turn_no", "chunk_no", "chunk_id", "type", F.size("dense").alias("n_dense"), F.size("sparse").alias("n_sparse"))
 
 
 @query()
 def retrieve_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For the first prompt of every conversation whose id is divisible by EVERY: what the index of all conversations gives."""
+    """For every prompt of the conversations whose id is divisible by EVERY: what the index of all conversations gives."""
     kept = store.ChunkStore(spark, _folder(spark, "chunks"))
     index(_messages(spark, sf_dir), kept, 0)
     points = kept.points()
-    first = Window.partitionBy("conv_id").orderBy("turn")
     asked = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & (F.col("conv_id") % EVERY == 0))
-    asked = asked.withColumn("rn", F.row_number().over(first)).where("rn = 1").select(F.col("conv_id").alias("qid"), F.lit("conversations").alias("collection"), F.col("text").alias("prompt"))
+    asked = asked.select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.lit("conversations").alias("collection"), F.col("text").alias("prompt"))
     return retrieve(points, asked).select("qid", "chunk_id", "ord", "via")
 
 

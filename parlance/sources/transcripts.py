@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import collection
@@ -16,8 +16,10 @@ def read_lines(spark: SparkSession, paths: str | list[str], skip_first_line: boo
 
     skip_first_line leaves out line 0, as a scan from the end that stops at a line break would.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
-    lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
+    # files are read in pieces; places in a file are those of its pieces, then of the lines in a piece
+    raw = spark.read.text(paths, lineSep="\n").select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    order = Window.partitionBy("path").orderBy("block", "at")
+    lines = raw.withColumn("pos", F.row_number().over(order) - 1).where(F.length(F.trim("line")) > 0)
     if skip_first_line:
         lines = lines.where(F.col("pos") > 0)
     name = F.element_at(F.split("path", "/"), -1)
