@@ -9,8 +9,9 @@ range. Separators, forms of address and top-level domains stay.
 
 The permutation is x -> E^-1(E(x) + 1) over all strings of the format, for a keyed Feistel
 permutation E: one cycle, so no entity is its own surrogate, and different entities never share
-one. Where the result falls outside the entity's class (a list name, a right check digit, a reserved
-range) the step is repeated until it is in the class, which keeps it one to one: this is the collision
+one. What must stay in a class (a range of addresses, cards with a right or wrong check digit) is numbered
+within it and permuted there. Where few results fall outside the class (a listed name, a check number that is
+right by chance) the step is repeated until one is inside, which keeps it one to one: this is the collision
 check. As it depends on key, type and entity only, an entity has the same surrogate in all texts,
 however it is punctuated. `collisions` counts what a check over a whole corpus finds.
 
@@ -19,7 +20,9 @@ parentheses or with 9 or more digits in groups; without any of these, 10 digits
 that begin with 6 to 9, and 7 or 8 digits parted by a hyphen or blank (but no two years). Other bare runs of digits
 are taken as plain numbers, and 7 digits parted by a point as a decimal.
 
-A null text stays null and has no entities. Rows are handled one by one; repeated rows repeat.
+A null text stays null and has no entities. Rows are handled one by one; repeated rows repeat. Long texts and
+many entities take time in proportion. An empty table gives an empty result. Only the key and the text are
+read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -118,6 +121,11 @@ def luhn(digits: str) -> bool:
     return sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def _check_digit(body: str) -> int:
+    """The last digit that makes a card number right."""
+    return next(d for d in range(10) if luhn(body + str(d)))
+
+
 def _digits(key: bytes, what: str, text: str, fits=lambda s: True) -> str:
     """Permutes all digits of a text together and puts them in the places of the old."""
     new = iter(permute_text(key, what, re.sub(r"\D", "", text), fits))
@@ -131,6 +139,11 @@ def _iban_check(country: str, body: str) -> str:
 _LISTED = {n.lower(): (group, i) for group, names in GIVEN.items() for i, n in enumerate(names)}
 
 
+#: Addresses that mean something by their range: this network, private ones, loopback, multicast and reserved; in order.
+RANGES = ((0, 1 << 24), (10 << 24, 11 << 24), (127 << 24, 128 << 24), (0xAC10 << 16, 0xAC20 << 16), (0xC0A8 << 16, 0xC0A9 << 16), (224 << 24, 1 << 32))
+
+
+@lru_cache(maxsize=1 << 16)
 def surrogate(key: bytes, kind: str, text: str) -> str:
     """The surrogate of an entity. Entities of a type that differ only in separators or case differ only so afterwards."""
     if kind == "email":
@@ -138,10 +151,15 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         *labels, top = domain.split(".")
         return f"{permute_text(key, 'local', local)}@{'.'.join([permute_text(key, f'domain{k}', x) for k, x in enumerate(labels)] + [top])}"
     if kind == "ip":
-        parts = [int(x) for x in text.split(".")]
-        x = int.from_bytes(bytes(parts), "big")
-        group = lambda v: (v >> 24 == 0, v >> 24 == 127, v >> 24 == 10, v >> 16 == 0xC0A8, 0xAC10 <= v >> 16 <= 0xAC1F, v >> 28 >= 14)
-        y = _walk(key, "ip", x, 1 << 32, lambda v: group(v) == group(x))
+        x = int.from_bytes(bytes(int(v) for v in text.split(".")), "big")
+        own = next((r for r in RANGES if r[0] <= x < r[1]), None)
+        if own:  # stays in its range
+            y = own[0] + _permutation(key, f"ip{own[0]}", own[1] - own[0]).step(x - own[0])
+        else:  # numbered without the ranges
+            free = (1 << 32) - sum(b - a for a, b in RANGES)
+            y = _permutation(key, "ip", free).step(x - sum(b - a for a, b in RANGES if b <= x))
+            for a, b in RANGES:
+                y += (b - a) * (y >= a)
         return ".".join(map(str, y.to_bytes(4, "big")))
     if kind == "iban":
         flat = re.sub(r"\s", "", text)
@@ -152,7 +170,14 @@ def surrogate(key: bytes, kind: str, text: str) -> str:
         return re.sub(r"\S", lambda _: next(letters), text)
     if kind == "card":
         flat = re.sub(r"\D", "", text)
-        return _digits(key, "card", text, lambda s: luhn(s) == luhn(flat))
+        body, off = flat[:-1], (int(flat[-1]) - _check_digit(flat[:-1])) % 10
+        if off:  # how far the check digit is from right is permuted with the rest: 1 to 9
+            x = _permutation(key, f"card{len(body)}wrong", 9 * 10 ** len(body)).step(int(body) * 9 + off - 1)
+            new, off = f"{x // 9:0{len(body)}d}", x % 9 + 1
+        else:
+            new = f"{_permutation(key, f'card{len(body)}', 10 ** len(body)).step(int(body)):0{len(body)}d}"
+        digits = iter(new + str((_check_digit(new) + off) % 10))
+        return re.sub(r"\d", lambda _: next(digits), text)
     if kind == "name":
         if text.lower() in _LISTED:
             group, i = _LISTED[text.lower()]
@@ -206,11 +231,13 @@ def _numbers(text: str, pattern: re.Pattern, least: int, most: int):
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all entities, none overlapping; a type earlier in TYPES goes first."""
     taken: list[tuple[int, int, str]] = []
+    mark = bytearray(len(text))
 
     def add(kind: str, spans) -> None:
         for a, b in spans:
-            if not any(x < b and a < y for x, y, _ in taken):
+            if mark.find(1, a, b) < 0:
                 taken.append((a, b, kind))
+                mark[a:b] = b"\1" * (b - a)
 
     matches = lambda p: (m.span() for m in p.finditer(text))
     if "@" in text:
@@ -219,9 +246,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
     add("iban", matches(_IBAN))
     add("card", matches(_CARD))
     add("ssn", matches(_SSN))
-    bare = text
-    for a, b, _ in taken:
-        bare = bare[:a] + "x" * (b - a) + bare[b:]
+    parts, last = [], 0
+    for a, b, _ in sorted(taken):
+        parts += [text[last:a], "x" * (b - a)]
+        last = b
+    bare = "".join([*parts, text[last:]])
     for kind in _PHONES:
         add("phone", _numbers(bare, *kind))
     add("phone", ((a, b) for a, b in matches(_PHONE) if 9 <= sum(map(str.isdigit, text[a:b])) <= 15 and not _DATE.fullmatch(text[a:b])))
