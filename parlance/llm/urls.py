@@ -4,23 +4,28 @@ A rule fits its host and all subdomains if the path starts with the rule's path;
 fitting rule wins (of equally long ones the first in text order). Where no rule fits, trees decide:
 they are trained on labelled URLs (in the query: a bounded sample of those that rules judge) from
 length, depth, digit ratio, entropy, parameter counts and statistics of the host's suffix.
+Features are worked out for whole batches at once. Suffix statistics are counted over all labelled URLs,
+by hash in SUFFIXES buckets, so that they take the same room however many suffixes there are.
+
 Null URLs and those without `://` have an empty host and path, fit no rule and are judged by the
-trees as an empty string. With no training rows, or one label only, that label's share is the score.
+trees (null as an empty string). With no training rows, or one label only, that label's share is the score.
+Very long URLs count like others; repeated rows repeat their result, and an empty table gives an empty one.
+Only the key and the URL are read, whatever other columns there are.
 """
 
 import math
-import re
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, table
+from .common import bounded_sample, lower_ascii, pieces, small_batches, span_hashes, spans_where, table, text_buffers
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Most labelled URLs that train the trees.
 SAMPLE_URLS = 20_000
+SUFFIXES = 1 << 16
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "longest_token", "has_fragment", "is_https", "suffix_rate", "suffix_count")
 
 
@@ -43,23 +48,59 @@ def rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]:
     return (name, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
-def _suffix(url: str) -> str:
-    name = re.split(r"[/?#]", url.partition("://")[2], maxsplit=1)[0].lower()
-    return ".".join(name.split(".")[-2:])
-
-
-def lexical(url: str) -> list[float]:
-    """All features of a URL but the statistics of its suffix."""
-    rest = url.partition("://")[2]
-    site = re.split(r"[/?#]", rest, maxsplit=1)[0]
-    way = re.split(r"[?#]", rest[len(site) :], maxsplit=1)[0]
-    query = rest.partition("?")[2].partition("#")[0]
-    n = max(1, len(url))
-    return [
-        len(url), len(site), len(way), way.count("/"), site.count(".") + 1, sum(c.isdigit() for c in url) / n,
-        -sum(k / n * math.log2(k / n) for k in Counter(url).values()), len([x for x in query.split("&") if x]), url.count("-"),
-        max(map(len, re.split(r"[\W_]+", url)), default=0), float("#" in url), float(url.startswith("https")),
+def lexical(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All features but the statistics of the suffix, a row for each URL, and the bucket of the suffix. Lengths are in bytes."""
+    raw, bounds = text_buffers(urls)
+    parts = [_lexical(raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in pieces(bounds)]
+    return (np.concatenate([x for x, _ in parts]), np.concatenate([s for _, s in parts])) if parts else (np.zeros((0, len(FEATURES) - 2)), np.zeros(0, np.int64))
+
+
+def _lexical(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start, end, n = bounds[:-1], bounds[1:], len(bounds) - 1
+    is_ = lambda letters: np.isin(raw, np.frombuffer(letters, np.uint8))
+
+    def first(marks: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The first of the marked places from `low` on within each row, or the row's end."""
+        at = np.r_[np.flatnonzero(marks), len(raw)]
+        return np.minimum(at[np.searchsorted(at, low).clip(max=len(at) - 1)], end)
+
+    def count(marks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(marks)]
+        return total[np.maximum(low, high)] - total[low]
+
+    scheme = np.zeros(len(raw), bool)
+    if len(raw) > 2:
+        scheme[:-2] = (raw[:-2] == 58) & (raw[1:-1] == 47) & (raw[2:] == 47)
+    site = first(scheme, start)
+    site = np.where(site + 3 <= end, site + 3, end)
+    way = first(is_(b"/?#"), site)
+    way_end = first(is_(b"?#"), way)
+    query = np.where((way_end < end) & (np.r_[raw, 0][way_end] == 63), way_end + 1, end)
+    query_end = first(is_(b"#"), query)
+    begins = raw != 38  # of a parameter: what follows an & or the ?
+    begins[1:] &= is_(b"&?")[:-1]
+    size = end - start
+    row = np.repeat(np.arange(n), size)
+    seen = np.bincount(row * 256 + raw, minlength=256 * n).reshape(n, 256)
+    entropy = np.log2(np.maximum(size, 1)) - (seen * np.log2(np.maximum(seen, 1))).sum(1) / np.maximum(size, 1)
+    token, token_end, own = spans_where((raw >= 48) & (raw <= 57) | (raw >= 65) & (raw <= 90) | (raw >= 97) & (raw <= 122) | (raw >= 128), bounds)
+    longest = np.zeros(n, np.int64)
+    np.maximum.at(longest, np.repeat(np.arange(n), np.diff(own)), token_end - token)
+    https = np.ones(n, bool)
+    for k, c in enumerate(b"https"):
+        https &= np.r_[raw, np.zeros(5, np.uint8)][start + k] == c
+    everything = [
+        size, way - site, way_end - way, count(raw == 47, way, way_end), count(raw == 46, site, way) + 1, count((raw >= 48) & (raw <= 57), start, end) / np.maximum(size, 1),
+        entropy, np.where(query < query_end, count(begins, np.minimum(query, len(raw)), query_end), 0), count(raw == 45, start, end), longest, first(raw == 35, start) < end, https & (size >= 5),
     ]
+    dots = np.flatnonzero(raw == 46)
+    before = np.searchsorted(dots, way)
+    two = before - np.searchsorted(dots, site) >= 2
+    suffix = np.where(two, np.r_[dots, 0, 0][np.maximum(before - 2, 0)] + 1, site)
+    bucket = np.zeros(n, np.int64)
+    some = np.flatnonzero(suffix < way)
+    bucket[some] = (span_hashes(lower_ascii(raw), suffix[some], way[some]) >> np.uint64(48)).astype(np.int64)
+    return np.stack([np.asarray(x, float) for x in everything], 1).reshape(n, len(FEATURES) - 2), bucket
 
 
 class BoostedTrees:
@@ -133,31 +174,45 @@ class UrlModel:
     """Trees and the suffix statistics they use. Labels: 1 block, 0 allow."""
 
     def fit(self, urls: list[str], labels: list[int]) -> "UrlModel":
-        self.share = (sum(labels) + 1) / (len(labels) + 2)
-        seen: dict[str, list[int]] = {}
-        for u, y in zip(urls, labels, strict=True):
-            n = seen.setdefault(_suffix(u), [0, 0])
-            n[0], n[1] = n[0] + 1, n[1] + y
-        self.suffixes = seen
-        x = np.array([self._features(u, y) for u, y in zip(urls, labels, strict=True)]).reshape(-1, len(FEATURES))
-        self.trees = BoostedTrees().fit(x, np.array(labels, float))
+        x, bucket = lexical(pa.array(urls, pa.string()))
+        y = np.array(labels, np.int64)
+        return self.learn(x, bucket, y, np.bincount(bucket, minlength=SUFFIXES), np.bincount(bucket, y, SUFFIXES))
+
+    def learn(self, x: np.ndarray, bucket: np.ndarray, labels: np.ndarray, seen: np.ndarray, bad: np.ndarray) -> "UrlModel":
+        """seen, bad: labelled URLs of each suffix bucket and those to block among them; the rows to learn from are some of these."""
+        self.seen, self.bad = seen.astype(float), bad.astype(float)
+        self.share = (self.bad.sum() + 1) / (self.seen.sum() + 2)
+        self.trees = BoostedTrees().fit(self._features(x, bucket, labels), labels.astype(float))
         return self
 
-    def _features(self, url: str, own: int | None = None) -> list[float]:
-        n, bad = self.suffixes.get(_suffix(url), (0, 0))
+    def _features(self, x: np.ndarray, bucket: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        n, bad = self.seen[bucket], self.bad[bucket]
         if own is not None:  # a row's own label is no evidence about itself
             n, bad = n - 1, bad - own
-        return [*lexical(url), (bad + 5 * self.share) / (n + 5), math.log1p(n)]
+        return np.c_[x, (bad + 5 * self.share) / (n + 5), np.log1p(n)]
 
     def score(self, urls) -> np.ndarray:
-        return self.trees.score(np.array([self._features(u or "") for u in urls], float).reshape(-1, len(FEATURES)))
+        return self.trees.score(self._features(*lexical(pa.array(urls, pa.string(), from_pandas=True))))
+
+
+def fit(pages: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE_URLS) -> UrlModel:
+    """From the URLs that a rule judges: suffix statistics of all of them, trees from at most `sample`, picked by hash. The driver gets numbers only."""
+    small_batches(pages.sparkSession, 4096)
+    known = pages.select(F.col(f"`{url}`").alias("u"), rule(host(F.col(f"`{url}`")), path(F.col(f"`{url}`")), rules)[1].alias("v")).where("v is not null")
 
+    def measure(batches):
+        for batch in batches:
+            x, bucket = lexical(batch.column(0))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64())), pa.array(bucket)], ["label", "h", "x", "bucket"])
 
-def labelled_urls(pages: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE_URLS) -> tuple[list[str], list[int]]:
-    """At most `sample` URLs that a rule judges, picked by hash, with label 1 for block."""
-    known = pages.select(F.col(url).alias("u"), rule(host(F.col(url)), path(F.col(url)), rules)[1].alias("v")).where("v is not null and length(u) <= 4096")
-    rows = bounded_sample(known, "u", sample).collect()
-    return [r.u for r in rows], [int(r.v == "block") for r in rows]
+    rows = known.select("u", (F.col("v") == "block").cast("int").alias("label"), F.xxhash64("u").alias("h")).mapInArrow(measure, "label int, h bigint, x array<double>, bucket bigint")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).collect()  # at most SUFFIXES rows
+    seen, bad = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
+    for r in counts:
+        seen[r.bucket], bad[r.bucket] = r.n, r.bad
+    some = bounded_sample(rows, "h", sample).collect()
+    x = np.array([r.x for r in some]).reshape(-1, len(FEATURES) - 2)
+    return UrlModel().learn(x, np.array([r.bucket for r in some], np.int64), np.array([r.label for r in some], np.int64), seen, bad)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -170,7 +225,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, key: str = "page_id",
     def block_score(urls: pd.Series) -> pd.Series:
         return pd.Series(model.score(urls))
 
-    parts = pages.select(F.col(key).alias("key"), F.col(url).alias("u")).withColumns({"host": host(F.col("u")), "path": path(F.col("u"))})
+    parts = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("u")).withColumns({"host": host(F.col("u")), "path": path(F.col("u"))})
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     scored = parts.withColumns({"rule": name, "said": verdict, "block_score": block_score(F.col("u"))})
     trees = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
@@ -179,4 +234,4 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, key: str = "page_id",
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, UrlModel().fit(*labelled_urls(pages)))
+    return judge(pages, fit(pages))
