@@ -1,15 +1,25 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer (a byte trie run over all words side by side) maps words to symbols: insult and
-threat stems with learned weights, and fixed lists of targets, negations and verbs of reported
-speech. Transducers for negation, reported speech and target are composed into one machine, which
-reads the symbols of a clause and scales each insult or threat by what stands before it. Clauses
-without insult or threat score 0. A document's clause scores make five features; logistic regression
-turns them into a score from 0 to 1.
-
-Stem weights and the regression are learned from a bounded, stratified sample of labelled rows.
-Null and empty texts have no clauses and get the score of a text without words. Repeated rows get
-equal scores. Without labelled rows of both kinds only the fixed list of insults counts.
+A lexical transducer (a byte trie run over all words side by side) maps words to symbols: insults and
+threats with weights, and fixed lists of targets, copulas, negations and verbs of reported speech. Five
+transducers read the symbols of a clause and mark each insult or threat: negated, reported, after a target, after
+a copula (these four are composed into one machine, which reads forwards) and before a target (which
+reads backwards). The marks of both name the path that accepts it:
+
+- directed: an insult with a target before or after it ("you are such an idiot", "idiots, all of you")
+- predicate: an insult said of something that is no target ("this plan is stupid")
+- bare: an insult without either
+- threat: a threat with its target after it ("kill you"); without one ("kill time") nothing accepts it
+
+A path's weight scales the word's; negated and reported paths count a fraction only (FACTORS). A clause scores the
+sum of what is accepted in it, and 0 if nothing is. Sums by path, the number of scoring clauses and of words make
+a document's features, and logistic regression turns them into a score from 0 to 1.
+
+Weights of stems (all learned ones count as insults) and of paths and the regression are learned from a bounded,
+stratified sample of labelled documents. Null and empty texts have no clauses and get the score of a text without
+words. Repeated rows get equal scores; a key with several texts trains with the least of them. Very long texts are
+read whole, in pieces. Without labelled rows of both kinds only the fixed lists count. An empty table gives an empty
+result. Only the key and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_texts, pieces, sample_labels, small_batches, spans_where, table, text_buffers
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+SYMBOLS = OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COPULA = range(7)
 #: Word lists of the grammar, for the four languages.
 WORDS = {
     INSULT: "idiot idiots moron morons stupid scum loser losers pathetic worthless disgusting trash clown dumb fool imbecile arschloch dummkopf abschaum connard idiote imbécile ordure basura estúpido imbécil",
@@ -34,6 +44,7 @@ WORDS = {
     TARGET: "you your yours u he she they them him her his their du dich dir dein ihr sie er tu toi vous votre il elle ils eux usted ustedes te tú tus ellos ella él",
     NEGATION: "not no never neither nor isn aren wasn don doesn nicht kein keine nie niemals pas jamais aucun aucune nunca jamás tampoco",
     REPORT: "said says say wrote writes claimed claims called quoted reported sagte schrieb behauptete nannte dit disait écrit affirme dijo escribió afirmó llamó",
+    COPULA: "is are am was were be been being such ist sind bist seid war warst est suis sommes êtes sont était eres soy somos son era",
 }
 FIXED_WEIGHT = 4.0
 #: Labelled rows that train the model, at most, of either label.
@@ -42,64 +53,106 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 STEMS, SHORTEST, LONGEST = 1500, 3, 9
 #: Log rate ratio and number of toxic sample documents that a stem needs.
 LEAST_RATIO, LEAST_DOCS = 1.6, 5
-SCOPE_NEGATION, SCOPE_TARGET = 3, 6
-FACTORS = {"negated": 0.3, "reported": 0.5, "targeted": 1.5, "threat_alone": 0.3}
+#: Words that a negation, a target, a copula and (backwards) a target reach.
+SCOPE_NEGATION, SCOPE_TARGET, SCOPE_COPULA, SCOPE_AIM = 4, 6, 3, 3
+#: What is left of a path that is negated or reported.
+FACTORS = {"negated": 0.1, "reported": 0.2}
+#: Weights of the paths before any are learned, and as how many documents these count.
+PATHS = {"directed": 1.5, "predicate": 1.2, "bare": 0.6, "threat": 1.5}
+PRIOR_DOCS = 20
+NEGATED, REPORTED, TARGETED, PREDICATE, AIMED = 1, 2, 4, 8, 16
 
 
 class Transducer:
-    """Weighted, deterministic: arcs (state, symbol) -> (state, factor); a symbol passes on unchanged."""
+    """Deterministic: arcs (state, symbol) -> (state, marks); marks are put on the insult or threat that is read."""
 
     def __init__(self, arcs: dict[tuple, tuple], start=0):
         self.arcs, self.start = arcs, start
 
-    def compose(self, then: Transducer) -> Transducer:
-        """Reads a symbol through both; factors multiply. Only reachable pairs of states are made."""
-        start, arcs = (self.start, then.start), {}
+    def compose(self, other: Transducer) -> Transducer:
+        """Reads with both at once and puts the marks of both. Only reachable pairs of states are made."""
+        start, arcs = (self.start, other.start), {}
         todo, seen = [start], {start}
         while todo:
             a, b = state = todo.pop()
-            for symbol in range(6):
-                (to_a, x), (to_b, y) = self.arcs[a, symbol], then.arcs[b, symbol]
-                arcs[state, symbol] = ((to_a, to_b), x * y)
+            for symbol in SYMBOLS:
+                (to_a, x), (to_b, y) = self.arcs[a, symbol], other.arcs[b, symbol]
+                arcs[state, symbol] = ((to_a, to_b), x | y)
                 if (to_a, to_b) not in seen:
                     seen.add((to_a, to_b))
                     todo.append((to_a, to_b))
         return Transducer(arcs, start)
 
-    def run(self, symbols, weights) -> float:
-        state, total = self.start, 0.0
-        for symbol, weight in zip(symbols, weights, strict=True):
-            state, factor = self.arcs[state, symbol]
-            total += weight * factor
-        return total
+    def run(self, symbols) -> list[int]:
+        state, out = self.start, []
+        for symbol in symbols:
+            state, marks = self.arcs[state, symbol]
+            out.append(marks)
+        return out
 
 
-def _scope(trigger: int, width: int, inside: dict[int, float], outside: dict[int, float], ends: bool) -> Transducer:
-    """Within `width` words after the trigger symbols get the factors of `inside`; `ends`: the first insult or threat ends it."""
+def _scope(trigger: int, width: int, mark: int, ends: bool = False) -> Transducer:
+    """Marks insults and threats within `width` words after the trigger; ends: only the first of them."""
     arcs = {}
     for state in range(width + 1):
-        for symbol in range(6):
-            factor = (inside if state else outside).get(symbol, 1.0)
-            to = width if symbol == trigger else 0 if ends and symbol in (INSULT, THREAT) else max(0, state - 1)
-            arcs[state, symbol] = (to, factor)
+        for symbol in SYMBOLS:
+            hit = symbol in (INSULT, THREAT)
+            to = width if symbol == trigger else 0 if ends and hit else max(0, state - 1)
+            arcs[state, symbol] = (to, mark if state and hit else 0)
     return Transducer(arcs)
 
 
 def negation() -> Transducer:
-    return _scope(NEGATION, SCOPE_NEGATION, dict.fromkeys((INSULT, THREAT), FACTORS["negated"]), {}, True)
+    return _scope(NEGATION, SCOPE_NEGATION, NEGATED, ends=True)
+
+
+def reported() -> Transducer:
+    """From a verb of reported speech to the end of the clause."""
+    return Transducer({(s, x): (int(s or x == REPORT), REPORTED if s and x in (INSULT, THREAT) else 0) for s in (0, 1) for x in SYMBOLS})
 
 
 def target() -> Transducer:
-    return _scope(TARGET, SCOPE_TARGET, dict.fromkeys((INSULT, THREAT), FACTORS["targeted"]), {THREAT: FACTORS["threat_alone"]}, False)
+    return _scope(TARGET, SCOPE_TARGET, TARGETED)
 
 
-def reported() -> Transducer:
-    """From a verb of reported speech to the end of the clause."""
-    return Transducer({(s, x): (int(s or x == REPORT), FACTORS["reported"] if s and x in (INSULT, THREAT) else 1.0) for s in (0, 1) for x in range(6)})
+def predicate() -> Transducer:
+    return _scope(COPULA, SCOPE_COPULA, PREDICATE)
+
+
+def aim() -> Transducer:
+    """Reads backwards."""
+    return _scope(TARGET, SCOPE_AIM, AIMED)
 
 
-def grammar() -> Transducer:
-    return negation().compose(reported()).compose(target())
+def accept(symbol: int, marks: int) -> tuple[str, float] | None:
+    """The path that accepts an insult or threat with these marks, and what is left of its weight; None if no path does."""
+    if symbol == THREAT:
+        path = "threat" if marks & AIMED else None
+    elif symbol == INSULT:
+        path = "directed" if marks & (TARGETED | AIMED) else "predicate" if marks & PREDICATE else "bare"
+    else:
+        path = None
+    if path is None:
+        return None
+    return path, (FACTORS["negated"] if marks & NEGATED else 1.0) * (FACTORS["reported"] if marks & REPORTED else 1.0)
+
+
+class Grammar:
+    """The composed machine for what stands before an insult or threat, and the one for what follows."""
+
+    def __init__(self):
+        self.forward = negation().compose(reported()).compose(target()).compose(predicate())
+        self.backward = aim()
+
+    def clause(self, symbols: list[int], weights: list[float]) -> tuple[list[float], bool]:
+        """What each path (in the order of PATHS) accepts in a clause, and whether any of it is neither negated nor reported."""
+        out, plain = dict.fromkeys(PATHS, 0.0), False
+        after = self.backward.run(symbols[::-1])[::-1]
+        for symbol, weight, x, y in zip(symbols, weights, self.forward.run(symbols), after, strict=True):
+            if symbol in (INSULT, THREAT) and (found := accept(symbol, x | y)):
+                out[found[0]] += weight * found[1]
+                plain |= found[1] == 1.0
+        return list(out.values()), plain
 
 
 class Lexicon:
@@ -164,15 +217,15 @@ def words_of(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, clause, first
 
 
-def features(lexicon: Lexicon, machine: Transducer, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each row: log sum of clause scores, greatest clause score, score per 100 words, log words, clauses that score."""
+def measure(lexicon: Lexicon, grammar: Grammar, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each row: the sum that each path accepts, words, and clauses with something that is neither negated nor reported."""
     starts, ends, clause, first = words_of(raw, bounds)
     found = lexicon.read(raw, starts, ends)
     symbol, weight = lexicon.symbols[found], lexicon.weights[found]
     row = np.searchsorted(first[1:], np.arange(len(starts)), side="right")
     hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
-    n = len(bounds) - 1
-    total, most, many = np.zeros(n), np.zeros(n), np.zeros(n)
+    out = np.zeros((len(bounds) - 1, len(PATHS) + 2))
+    out[:, len(PATHS)] = np.diff(first)
     if len(hits):
         places = np.stack([row[hits], clause[hits]], 1)
         new = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]).any(1)])
@@ -180,29 +233,45 @@ def features(lexicon: Lexicon, machine: Transducer, raw: np.ndarray, bounds: np.
             a = int(np.searchsorted(clause, clause[h]))
             b = int(np.searchsorted(clause, clause[h], side="right"))
             a, b = max(a, int(first[row[h]])), min(b, int(first[row[h] + 1]))
-            score = machine.run(symbol[a:b].tolist(), weight[a:b].tolist())
-            total[row[h]] += score
-            most[row[h]] = max(most[row[h]], score)
-            many[row[h]] += 1
-    words = np.diff(first)
-    return np.stack([np.log1p(total), np.minimum(most, 20) / 5, np.minimum(100 * total / (words + 20), 50) / 10, np.log1p(words) / 5, np.log1p(many)], 1)
+            sums, plain = grammar.clause(symbol[a:b].tolist(), weight[a:b].tolist())
+            out[row[h], : len(PATHS)] += sums
+            out[row[h], -1] += plain
+    return out
 
 
 @dataclass
 class ToxicityModel:
     stems: dict[str, float] = field(default_factory=dict)
-    coefficients: tuple[float, ...] = (2.0, 0.5, 0.5, 0.0, 0.0, -3.0)
+    paths: dict[str, float] = field(default_factory=lambda: dict(PATHS))
+    coefficients: tuple[float, ...] = (2.0, 0.5, 0.0, 0.0, -3.0)
 
     def __post_init__(self):
-        self.lexicon, self.machine = Lexicon(self.stems), grammar()
+        self.lexicon, self.grammar = Lexicon(self.stems), Grammar()
 
-    def features(self, column) -> np.ndarray:
+    def measure(self, column) -> np.ndarray:
         raw, bounds = text_buffers(pc.utf8_lower(column))
-        return np.concatenate([features(self.lexicon, self.machine, raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in pieces(bounds)] or [np.zeros((0, 5))])
+        return np.concatenate([measure(self.lexicon, self.grammar, raw[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in pieces(bounds)] or [np.zeros((0, len(PATHS) + 2))])
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def features(self, measured: np.ndarray) -> np.ndarray:
+        """Log sum of clause scores, score per 100 words, log words, log clauses."""
+        total = measured[:, : len(PATHS)] @ np.array([self.paths[p] for p in PATHS])
+        words, many = measured[:, -2], measured[:, -1]
+        return np.stack([np.log1p(total), np.minimum(100 * total / (words + 20), 50) / 10, np.log1p(words) / 5, np.log1p(many)], 1)
+
+    def score(self, measured: np.ndarray) -> np.ndarray:
         c = np.array(self.coefficients)
-        return 1 / (1 + np.exp(-np.clip(x @ c[:-1] + c[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.features(measured) @ c[:-1] + c[-1], -30, 30)))
+
+
+def _path_weights(measured: np.ndarray, labels: np.ndarray) -> dict[str, float]:
+    """From how much oftener toxic documents have a path than clean ones, leaning on PATHS as on PRIOR_DOCS documents."""
+    toxic, clean = measured[labels == 1], measured[labels == 0]
+    out = {}
+    for k, (path, prior) in enumerate(PATHS.items()):
+        a, b = (toxic[:, k] > 0).sum(), (clean[:, k] > 0).sum()
+        ratio = math.log((a + 0.5) / (len(toxic) + 1)) - math.log((b + 0.5) / (len(clean) + 1))
+        out[path] = float((PRIOR_DOCS * prior + (a + b) * min(max(ratio / 3, 0.2), 2.0)) / (PRIOR_DOCS + a + b))
+    return out
 
 
 def _stem_counts(batches):
@@ -247,15 +316,17 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Toxici
     best = counts.orderBy(F.col("stem") != "", F.desc(F.col("toxic_docs") / (F.col("clean_docs") + 1)), "stem").limit(20_000).collect()
     whole = next((r for r in best if r.stem == ""), None)
     if not whole or not whole.toxic_words or not whole.clean_words:
-        return ToxicityModel()
+        return ToxicityModel()  # the fixed lists alone
     model = ToxicityModel(_choose([r for r in best if r.stem], whole.toxic_words, whole.clean_words))
 
-    def measure(batches):
+    def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(model.features(batch.column(0))), pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(model.measure(batch.column(0))), pa.list_(pa.float64()))], ["label", "x"])
 
-    seen = rows.mapInArrow(measure, "label int, x array<double>").collect()
-    model.coefficients = _logistic(np.array([r.x for r in seen]), np.array([r.label for r in seen], float))
+    seen = rows.mapInArrow(run, "label int, x array<double>").collect()
+    measured, labels = np.array([r.x for r in seen]), np.array([r.label for r in seen])
+    model.paths = _path_weights(measured, labels)
+    model.coefficients = _logistic(model.features(measured), labels.astype(float))
     return model
 
 
@@ -277,7 +348,7 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(model.features(batch.column(1))))], ["key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(model.measure(batch.column(1))))], ["key", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)

@@ -59,28 +59,90 @@ def test_without_labels(spark, small_dir, empty_dir):
     assert model.stems == {}
 
 
-def test_grammar():
+def _paths(text, stems=()):
+    """What each path accepts, clause by clause, by looking at the words around each insult or threat."""
+    low = {w: symbol for symbol, words in toxicity.WORDS.items() for w in words.split()}
+    sums, plain = dict.fromkeys(toxicity.PATHS, 0.0), 0
+    for clause in re.split(r"[.!?;\n|]", (text or "").lower()):
+        words = re.findall(r"[a-zà-öø-ÿа-я]+", clause)
+        symbols = [low.get(w, toxicity.INSULT if any(w.startswith(s) for s in stems) else toxicity.OTHER) for w in words]
+        hit = lambda x: x in (toxicity.INSULT, toxicity.THREAT)
+        scores = False
+        for i, symbol in enumerate(symbols):
+            if not hit(symbol):
+                continue
+            near = lambda trigger, low_, high: any(x == trigger for x in symbols[max(0, low_) : max(0, high)])
+            negated = any(x == toxicity.NEGATION and not any(hit(y) for y in symbols[j + 1 : i]) for j, x in enumerate(symbols[:i]) if i - j <= toxicity.SCOPE_NEGATION)
+            reported = near(toxicity.REPORT, 0, i)
+            before, after = near(toxicity.TARGET, i - toxicity.SCOPE_TARGET, i), near(toxicity.TARGET, i + 1, i + 1 + toxicity.SCOPE_AIM)
+            if symbol == toxicity.THREAT:
+                path = "threat" if after else None
+            else:
+                path = "directed" if before or after else "predicate" if near(toxicity.COPULA, i - toxicity.SCOPE_COPULA, i) else "bare"
+            if path:
+                sums[path] += toxicity.FIXED_WEIGHT * (toxicity.FACTORS["negated"] if negated else 1) * (toxicity.FACTORS["reported"] if reported else 1)
+                scores |= not negated and not reported
+        plain += scores
+    return [*sums.values(), plain]
+
+
+CLAUSES = [
+    "you idiot", "an idiot here", "you are not an idiot", "they said you idiot", "I kill time", "I will kill you", "you, who will kill", "nothing. Here. idiot", "", None, "Blockheads", "you blockhead", "not. idiot",
+    "this plan is stupid", "not a fool and no moron but an idiot", "idiots, all of you", "he wrote that they never hurt you! kill him", "du bist ein Dummkopf; tu es un idiote\nno es basura", "the idiot " * 50,
+]
+
+
+def test_grammar_equals_brute_force():
     import pyarrow as pa
 
-    model = toxicity.ToxicityModel({"blockh": 4.0})
-    # clause scores, before the regression
-    sums = np.expm1(model.features(pa.array(["you idiot", "an idiot here", "you are not an idiot", "they said you idiot", "I kill time", "I will kill you", "you, who will kill", "nothing. Here. idiot", "", None, "Blockheads", "you blockhead", "not. idiot"]))[:, 0])
-    w = toxicity.FIXED_WEIGHT
-    f = toxicity.FACTORS
-    want = [w * f["targeted"], w, w * f["targeted"] * f["negated"], w * f["targeted"] * f["reported"] * f["targeted"] / f["targeted"], w * f["threat_alone"], w * f["threat_alone"], w * f["targeted"], w, 0, 0, 4.0, 6.0, w]
-    assert np.allclose(sums, want, atol=1e-6)
+    rng = np.random.default_rng(8)
+    words = [w for x in toxicity.WORDS.values() for w in x.split()] + ["the", "a", "plan", "blockhead", ".", "!"] * 12
+    texts = [*CLAUSES, *(" ".join(rng.choice(words, 25)) for _ in range(300))]
+    model = toxicity.ToxicityModel({"blockh": toxicity.FIXED_WEIGHT})
+    got = model.measure(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        assert np.allclose(np.r_[row[:4], row[5]], _paths(text, ("blockh",))), text
 
 
 def test_composition_is_the_product():
-    a, b = toxicity.negation(), toxicity.target()
-    both = a.compose(b)
+    a, b, c = toxicity.negation(), toxicity.target(), toxicity.reported()
+    all_ = a.compose(b).compose(c)
     rng = np.random.default_rng(3)
     for _ in range(50):
-        symbols = rng.integers(0, 6, 12).tolist()
-        one = [a.run(symbols[:k], [0] * (k - 1) + [1]) for k in range(1, 13)]
-        two = [b.run(symbols[:k], [0] * (k - 1) + [1]) for k in range(1, 13)]
-        product = [both.run(symbols[:k], [0] * (k - 1) + [1]) for k in range(1, 13)]
-        assert np.allclose(np.multiply(one, two), product)
+        symbols = rng.integers(0, len(toxicity.SYMBOLS), 12).tolist()
+        assert all_.run(symbols) == [x | y | z for x, y, z in zip(a.run(symbols), b.run(symbols), c.run(symbols), strict=True)]
+
+
+def _labelled_clauses():
+    """(text, label, held out): insults and threats as such, negated, reported, and threats of no one; held-out ones use other words."""
+    insults = ["idiot", "moron", "loser", "fool", "clown", "imbecile"]
+    threats = ["kill", "hurt", "stab", "beat", "burn", "punch"]
+    said = {
+        1: ["you are such an {i}", "what an {i} you are", "they are {i}s and you know", "shut up you {i}", "I will {t} you", "we are going to {t} him today"],
+        0: ["you are not an {i}", "she is no {i} at all", "he never was an {i}", "the witness said you are an {i}", "they wrote that he is an {i}", "I will {t} some time", "never {t} him", "nobody claimed they would {t} her", "the plan is to meet at noon", "we will not {t} you"],
+    }
+    return [(f.format(i=i, t=t), y, k % 2) for y, forms in said.items() for f in forms for k, (i, t) in enumerate(zip(insults, threats, strict=True))]
+
+
+def test_grammar_decides(spark, monkeypatch):
+    """Held-out accuracy with the grammar, and without it (all paths alike, nothing negated or reported)."""
+    rows = _labelled_clauses()
+    train = spark.createDataFrame([(t, y) for t, y, held in rows if not held] * 3, "text string, label int")
+    held = [(t, y) for t, y, held in rows if held]
+
+    def accuracy():
+        import pyarrow as pa
+
+        model = toxicity.fit(train)
+        said = model.score(model.measure(pa.array([t for t, _ in held]))) >= 0.5
+        return (said == np.array([y for _, y in held], bool)).mean()
+
+    with_grammar = accuracy()
+    monkeypatch.setattr(toxicity, "FACTORS", {"negated": 1.0, "reported": 1.0})
+    monkeypatch.setattr(toxicity, "accept", lambda symbol, marks: ("directed", 1.0))
+    monkeypatch.setattr(toxicity, "PATHS", dict.fromkeys(toxicity.PATHS, 1.0))
+    without = accuracy()
+    assert with_grammar >= 0.95 and without <= 0.75, (with_grammar, without)
 
 
 def test_quality_features_match_a_loop():
