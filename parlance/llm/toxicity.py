@@ -51,8 +51,10 @@ FIXED_WEIGHT = 4.0
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 3000
 #: Stems kept, at most; letters in a stem.
 STEMS, SHORTEST, LONGEST = 1500, 3, 9
-#: Log rate ratio and number of toxic sample documents that a stem needs.
-LEAST_RATIO, LEAST_DOCS = 1.6, 5
+#: Log rate ratio, number and share of the toxic sample documents that a stem needs: rarer ones are mostly chance, or copies of one text.
+LEAST_RATIO, LEAST_DOCS, LEAST_SHARE = 3.0, 5, 0.02
+#: A stem gives way to one a letter longer that has this share of its toxic occurrences, up to a whole word.
+LONGER = 0.9
 #: Words that a negation, a target, a copula and (backwards) a target reach.
 SCOPE_NEGATION, SCOPE_TARGET, SCOPE_COPULA, SCOPE_AIM = 4, 6, 3, 3
 #: What is left of a path that is negated or reported.
@@ -292,15 +294,28 @@ def _stem_counts(batches):
             docs[label].update(own.keys())
             tokens[label].update(own)
             tokens[label][""] += sum(words.values())
+            docs[label][""] += 1
         stems = list(tokens[0].keys() | tokens[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(stems), *(pa.array([c[s] for s in stems], pa.int64()) for c in (docs[1], docs[0], tokens[1], tokens[0]))], ["stem", "toxic_docs", "clean_docs", "toxic_words", "clean_words"])
 
 
-def _choose(rows, toxic_words: int, clean_words: int) -> dict[str, float]:
+def _choose(rows, toxic_words: int, clean_words: int, toxic_docs: int, clean_docs: int) -> dict[str, float]:
     """Stems and weights; a longer stem stays only if it says clearly more than the stem it begins with."""
-    weight = {r.stem: math.log((r.toxic_words + 0.5) / (toxic_words + 1)) - math.log((r.clean_words + 0.5) / (clean_words + 1)) for r in rows}
+    weight = {r.stem: math.log((r.toxic_words + 0.5) / (toxic_words + 1)) - math.log((r.clean_words + 0.5) / (clean_words + 1)) for r in rows}  # of occurrences
+    weight = {r.stem: min(weight[r.stem], math.log((r.toxic_docs + 0.5) / (toxic_docs + 1)) - math.log((r.clean_docs + 0.5) / (clean_docs + 1))) for r in rows}  # and of documents
+    longer: dict[str, tuple[int, str]] = {}
+    for r in rows:
+        longer[r.stem[:-1]] = max(longer.get(r.stem[:-1], (0, "")), (r.toxic_words, r.stem))
+    times = {r.stem: r.toxic_words for r in rows}
+
+    def full(stem: str) -> str:
+        while (next_ := longer.get(stem, (0, ""))) and next_[0] >= LONGER * times[stem]:
+            stem = next_[1]
+        return stem
+
     chosen: dict[str, float] = {}
-    for stem in sorted((s for s in weight if weight[s] >= LEAST_RATIO), key=lambda s: (len(s), s)):
+    often = {r.stem for r in rows if r.toxic_docs >= LEAST_SHARE * toxic_docs}
+    for stem in sorted({full(s) for s in often if weight[s] >= LEAST_RATIO}, key=lambda s: (len(s), s)):
         known = max((chosen[stem[:k]] for k in range(len(stem)) if stem[:k] in chosen), default=-1.0)
         if weight[stem] > known + 0.7:
             chosen[stem] = min(weight[stem], 7.0)
@@ -317,7 +332,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> Toxici
     whole = next((r for r in best if r.stem == ""), None)
     if not whole or not whole.toxic_words or not whole.clean_words:
         return ToxicityModel()  # the fixed lists alone
-    model = ToxicityModel(_choose([r for r in best if r.stem], whole.toxic_words, whole.clean_words))
+    model = ToxicityModel(_choose([r for r in best if r.stem], whole.toxic_words, whole.clean_words, whole.toxic_docs, whole.clean_docs))
 
     def run(batches):
         for batch in batches:
