@@ -373,10 +373,10 @@ def _needed(a: Column, b: Column) -> Column:
     return F.ceil((a + b) * UP / (UP + DOWN))
 
 
-def _possible(x: str, y: str) -> Column:
+def _possible(x: Column, y: Column) -> Column:
     """Whether sizes and positions in a list leave room for a link."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    room = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
+    n, m = x["n"], y["n"]
+    room = F.least(n - x["pos"], m - y["pos"])
     return (n * DOWN >= m * UP) & (m * DOWN >= n * UP) & (room >= _needed(n, m))
 
 
@@ -462,7 +462,7 @@ def _classes(sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame
     counted = listed.groupBy("token").agg(F.count("*").alias("many"), *members, pivot).where("many > 1")
     counted = counted.groupBy("many", "m1", "m2").agg(F.min_by(F.struct("token", "p"), F.struct("p.pos", "token")).alias("l")).select("l.token", "l.p")
     lists = listed.join(counted, "token").where("class != p.class").select("token", "class", "n", "pos", "p").checkpoint()
-    pairs = lists.select(F.struct("class", "n", "pos").alias("e"), "p").where(_possible("p", "e")).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
+    pairs = lists.select(F.struct("class", "n", "pos").alias("e"), "p").where(_possible(F.col("p"), F.col("e"))).select(F.col("p.class").alias("x"), F.col("e.class").alias("y")).distinct()
     seen = _verify(pairs, sets).checkpoint()
     links = seen.where("linked").select("x", "y")
     labels = _merged(sets.select("class", F.col("class").alias("comp")), links)
@@ -472,19 +472,17 @@ def _classes(sets: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame
     compared, pivots = seen.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), FIRST_PIVOTS
     while True:
         told = open_.withColumn("comp", F.col("class")) if every else open_.join(labels, "class")
-        several = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low != high").select("token", "many")
-        told = told.join(several, "token").checkpoint()
+        several = told.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where("low != high").select("token", "many", "low")
+        told = told.join(several, "token").withColumn("first", F.col("comp") == F.col("low")).drop("low").checkpoint()
         release(spark)
         if told.isEmpty():
             return (_merged(labels, links) if every else labels), links
         now = F.col("many") * F.col("turn") < F.lit(pivots * TURNS)
         both = told.where(now).select("token", "pivot_n", _member("a")).join(_blocks(told), "token").where(_block_possible("a"))
-        both = both.select("a", "pivot_n", F.explode("members").alias("b"))
-        after = F.struct("a.turn", "a.class") < F.struct("b.turn", "b.class")  # those whose turn was are gone: each pair once
-        both = both.where(after & (F.col("a.comp") != F.col("b.comp")) & _possible("a", "b") & (_most() >= _needed(F.col("a.n"), F.col("b.n"))))
+        both = both.select("a", "pivot_n", F.explode(F.filter("members", lambda b: _open(F.col("a"), b))).alias("b"))
         pairs = both.select(F.least("a.class", "b.class").alias("x"), F.greatest("a.class", "b.class").alias("y"), (_least() >= _needed(F.col("a.n"), F.col("b.n"))).alias("sure"))
         pairs = pairs.groupBy("x", "y").agg(F.bool_or("sure").alias("sure")).join(compared, ["x", "y"], "left_anti").checkpoint()
-        open_ = told.where(~now).drop("comp", "many")
+        open_ = told.where(~now).drop("comp", "many", "first")
         pivots *= GROWTH
         if not pairs.isEmpty():
             compared = compared.unionAll(pairs.select("x", "y"))
@@ -503,11 +501,15 @@ def _member(name: str) -> Column:
 
 
 def _blocks(open_: DataFrame) -> DataFrame:
-    """The members of each open list in blocks of alike sizes and positions, with what decides whether a block is skipped."""
+    """The members of each open list in blocks of alike sizes and positions, with what decides whether a block is skipped.
+
+    Members of the component with the least name stand in blocks of their own (`first`): as a name is its component's least class, that is
+    mostly the largest one, and its members skip its blocks.
+    """
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DOWN / UP)))
     place = F.floor(8 * F.col("pos") / F.col("n"))
     part = F.pmod(F.xxhash64("class", F.lit(12)), F.ceil(F.col("many") / BLOCK_ROWS))  # however long a list is
-    return open_.groupBy("token", size.alias("size"), place.alias("place"), part.alias("part")).agg(
+    return open_.groupBy("token", "first", size.alias("size"), place.alias("place"), part.alias("part")).agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("room"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.collect_list(_member("m")).alias("members")
     )
 
@@ -519,9 +521,14 @@ def _block_possible(a: str) -> Column:
     return fits & ((F.col("low") != F.col(f"{a}.comp")) | (F.col("high") != F.col(f"{a}.comp")))
 
 
-def _most() -> Column:
+def _open(a: Column, b: Column) -> Column:
+    """Whether a is to be compared with b, a member of a block: b's turn is not over, so that each pair comes up once, and no bound rules a link out."""
+    after = (a["turn"] < b["turn"]) | ((a["turn"] == b["turn"]) & (a["class"] < b["class"]))
+    return after & (a["comp"] != b["comp"]) & _possible(a, b) & (_most(a, b) >= _needed(a["n"], b["n"]))
+
+
+def _most(a: Column, b: Column) -> Column:
     """What a and b share at most: what both share with their list's pivot, and what either has outside it. Unknown: all of the smaller."""
-    a, b = F.col("a"), F.col("b")
     return F.coalesce(F.least(a["overlap"], b["overlap"]) + F.least(a["n"] - a["overlap"], b["n"] - b["overlap"]), F.least(a["n"], b["n"]))
 
 
