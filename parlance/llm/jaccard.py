@@ -584,9 +584,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rank = F.struct(F.col("d").isNull().alias("no"), "d", "h")
     stay = found.groupBy(group.alias("g")).agg(F.min(rank).alias("k")).select(F.col("k.d").alias("stay_d"), F.col("k.h").alias("stay_h"))
     names = docs.columns
-    own, sum_ = free_names(names, "key", "hash")
+    own, sum_, stay_d, stay_h = free_names(names, "key", "hash", "stay_d", "stay_h")
     held = docs.withColumns({own: F.col(f"`{key}`").cast("bigint"), sum_: F.xxhash64(f"`{text}`")})
-    both = held.join(stay.toDF("stay d", "stay h"), F.col(own).eqNullSafe(F.col("`stay d`")) & (F.col(sum_) == F.col("`stay h`")), "left_semi")
+    both = held.join(stay.toDF(stay_d, stay_h), F.col(own).eqNullSafe(F.col(stay_d)) & (F.col(sum_) == F.col(stay_h)), "left_semi")
     return both.dropDuplicates([own, sum_]).select(*[F.col(f"`{c}`") for c in names])
 
 

@@ -30,3 +30,22 @@ t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(words, 0) AS longest_words, coalesce(start, -1) AS longest_start, coalesce(item, '') AS longest_item
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN (SELECT * FROM t WHERE rn = 1) USING (doc_id)
 """
+
+_TEXT = "coalesce(text, '')"
+SECRETS = rf"""
+SELECT doc_id, len(list_filter(regexp_extract_all({_TEXT}, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all({_TEXT}, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS n_access, len(list_filter(regexp_extract_all({_TEXT}, '[0-9a-f]+'), lambda v: length(v) >= 24)) AS n_hex FROM documents
+"""
+
+_RULES = "(VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(verdict, site, start)"
+URLS = rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT page_id, host, path, site || start AS rule, verdict, length(site || start) AS n FROM p JOIN {_RULES} ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, start)),
+b AS (SELECT page_id, host, path, arg_max(rule, n) AS rule, arg_max(verdict, n) AS rule_verdict FROM f GROUP BY ALL)
+SELECT page_id, host, path, rule, rule_verdict FROM p LEFT JOIN b USING (page_id, host, path)
+"""
+
+MEDIA = f"""
+WITH p AS (SELECT doc_id, {_TEXT} AS t, strlen({_TEXT}) AS n FROM documents), q AS (SELECT *, greatest(192, (n + 191) // 192 * 192) AS m FROM p)
+SELECT doc_id, n AS n_bytes, m AS payload_bytes, sha256(t || repeat(' ', m - n)) AS payload_sha256 FROM q
+"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from . import oracles
 from .decontaminate import op9_decontaminate
 from .jaccard import op3_jaccard, op3_jaccard_links
@@ -27,4 +30,22 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_media": op10_media,
 }
-ORACLES: dict[str, str] = {"op3_jaccard": oracles.JACCARD, "op9_decontaminate": oracles.DECONTAMINATE}
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_secrets that SQL can give."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_urls that SQL can give, and the verdict of the rules (null: none fits)."""
+    return op6_urls(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_media that SQL can give, from what is read back."""
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+QUERIES |= {"secret_counts": secret_counts, "url_rules": url_rules, "media_payloads": media_payloads}
+ORACLES: dict[str, str] = {"op3_jaccard": oracles.JACCARD, "op9_decontaminate": oracles.DECONTAMINATE, "secret_counts": oracles.SECRETS, "url_rules": oracles.URLS, "media_payloads": oracles.MEDIA}

@@ -12,10 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import decontaminate, jaccard, lines, media, packing, pii
+from parlance.llm import decontaminate, jaccard, lines, media, packing, pii, quality, toxicity
 from parlance.llm.common import text_buffers
 from parlance.llm.oracles import DECONTAMINATE, JACCARD
-from parlance.llm.queries import QUERIES
+from parlance.llm.queries import ORACLES, QUERIES
 from tests.compare import connect, of_spark, of_sql
 
 
@@ -483,14 +483,79 @@ def test_other_baseline_images():
 # all of them
 
 
+def test_own_names_may_clash(spark):
+    """Columns of docs named like those that the operators use inside come back as they were."""
+    text = "\n".join(f"line number {k} of a passage that stands in two documents at least" for k in range(6))
+    inside = ["key", "hash", "key_", "hash_", "KEY", "run_key", "run_hash", "runs", "runs_", "run_key_", "text_hash_", "hit_text_", "hit_ranges_", "hit_items_", "c0", "c1", "d", "h", "k", "g", "comp", "class", "stay d", "stay h", "stay_d", "n_lines", "n_deleted", "score", "label"]
+    inside = [c for c in inside if c != "KEY"]
+    df = spark.createDataFrame([(1, text), (2, "own words first\n" + text), (3, text), (4, None), (5, "")], "doc_id long, text string").withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in inside})
+    bench = spark.createDataFrame([(1, "line number 3 of a passage that stands in two documents at least")], "item_id long, text string")
+    flat = quality._flat(0.9)
+    for name, out in {
+        "jaccard": jaccard.one_of_each(df), "lines": lines.dedup(df, drop_emptied=True, counts=False), "counted": lines.dedup(df), "clean": decontaminate.hits(df, bench, clean_only=True),
+        "hits": decontaminate.hits(df, bench), "kept": quality.score(df, flat, keep=True),
+    }.items():
+        assert out.columns[: len(df.columns)] == df.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            assert tuple(r)[2 : len(df.columns)] == tuple(f"{c}:{r[0]}" for c in inside), name
+    assert lines.dedup(df).columns[-2:] == ["n_lines_", "n_deleted_"]
+    assert decontaminate.hits(df, bench).columns[-4:] == ["hit_ranges__", "hit_items__", "hit_longest_", "hit_words_"]
+    assert sorted(r.doc_id for r in jaccard.one_of_each(df).select("doc_id").collect()) == [1, 4, 5]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    body = [f"w{rng.randrange(5000)}" for _ in range(250_000)]
+    item = " ".join(f"item{k}" for k in range(15))
+    long = "\n".join(" ".join(body[k : k + 50]) for k in range(0, len(body), 50))
+    rows = [(1, long), (2, f"{long}\n{item} call +49 30 1234567"), (3, "short"), (4, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    sizes = {k: len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for k, t in rows if len(w := t.split()) > 4}
+    got = {r.d: (r.n, r.component) for r in jaccard.join(df).collect()}
+    assert got == {1: (sizes[1], 1), 2: (sizes[2], 1), 3: (1, 3), 4: (sizes[4], 1)}
+    hits_ = {r.doc_id: (r.n_words, r.n_hit, r.longest_start) for r in decontaminate.digest(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hits_ == {1: (250_000, 0, -1), 2: (250_019, 15, 250_000), 3: (1, 0, -1), 4: (250_000, 0, -1)}
+    left = {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in lines.dedup(df).collect()}
+    assert left == {1: (long, 5000, 0), 2: (f"{item} call +49 30 1234567", 5001, 5000), 3: ("short", 1, 0), 4: ("", 5000, 5000)}
+    private = {r.doc_id: (r.n_phone, r.text[: len(long)] == long) for r in pii.pseudonymize(df).collect()}
+    assert private == {1: (0, True), 2: (1, True), 3: (0, False), 4: (0, True)}
+    packed = Counter()
+    for r in packing.pack_documents(df).collect():
+        packed[r.doc_id] += r.n_tokens
+    assert packed == {1: 250_000, 2: 250_020, 3: 1, 4: 250_000}
+    scored = {r.doc_id: r.score for r in quality.score(df, quality._flat(0.25)).collect()}
+    assert all(abs(x - 0.25) < 1e-5 for x in scored.values())
+    toxic = {r.doc_id: r.score for r in toxicity.score(df.withColumn("text", F.concat("text", F.lit(". you idiot!"))), toxicity.ToxicityModel()).collect()}
+    assert toxic[3] > toxic[1] == toxic[4]
+
+
 @pytest.mark.parametrize("name", ["op3_jaccard", "op5_pii", "op7_packing", "op8_lines", "op9_decontaminate", "op10_media"])
 def test_empty_tables(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).count() == 0
 
 
+# what SQL can say of operators that it can't express as a whole
+
+
+@pytest.mark.parametrize("name", ["secret_counts", "url_rules", "media_payloads"])
+def test_parts_equal_sql(spark, sf_dir, name):
+    assert of_spark(QUERIES[name](spark, sf_dir)) == of_sql(connect(sf_dir), ORACLES[name])
+
+
 # pipeline
 
 
+def test_pipeline_of_empty_tables(spark, empty_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{empty_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, empty_dir)
+        assert found.count() == 0, name
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
 def test_pipeline_stages(spark, small_dir, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small_dir}/documents.parquet")
