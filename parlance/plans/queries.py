@@ -410,7 +410,23 @@ def _transcript(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "collection string, session_id string, pos int, line string")
 
 
-@query()
+_PYTHON = "CASE coalesce(json_type(x), 'NULL') WHEN 'VARCHAR' THEN x->>'$' WHEN 'BOOLEAN' THEN upper((x::VARCHAR)[1]) || (x::VARCHAR)[2:] WHEN 'NULL' THEN 'None' ELSE x::VARCHAR END"
+_PARSED = f"""lines AS (SELECT unnest(range({len(transcript_lines())}))::INT AS pos, unnest([{", ".join(map(_sql_text, transcript_lines()))}]) AS line),
+    objects AS (SELECT pos, line::JSON AS j FROM lines WHERE json_valid(line)),
+    said AS (SELECT pos, j->>'timestamp' AS timestamp, j->'message'->>'role' AS role, j->'message'->'content' AS c FROM objects WHERE json_type(j->'message') = 'OBJECT'),
+    blocks AS (SELECT pos, role, unnest(c::JSON[]) AS b, unnest(range(json_array_length(c)::BIGINT)) AS i FROM said WHERE json_type(c) = 'ARRAY'),
+    items AS (SELECT pos, i, unnest((b->'content')::JSON[]) AS x, unnest(range(json_array_length(b->'content')::BIGINT)) AS k FROM blocks WHERE b->>'type' = 'tool_result' AND json_type(b->'content') = 'ARRAY'
+      UNION ALL SELECT pos, i, json_extract(b->'input', '$."' || key || '"'), k FROM (SELECT *, unnest(json_keys(b->'input')) AS key, unnest(range(len(json_keys(b->'input'))::BIGINT)) AS k FROM blocks WHERE b->>'type' = 'tool_use')),
+    told AS (SELECT pos, i, string_agg({_PYTHON} || chr(10), '' ORDER BY k) AS told FROM items GROUP BY ALL),
+    parts AS (SELECT pos, -1 AS i, '[text]' || chr(10) || (c->>'$') AS part FROM said WHERE role = 'user' AND json_type(c) = 'VARCHAR'
+      UNION ALL SELECT pos, i, CASE WHEN b->>'type' = 'text' AND role IN ('user', 'assistant') THEN '[text]' || chr(10) || coalesce(b->>'text', '') || chr(10)
+        WHEN role = 'user' AND b->>'type' = 'tool_result' THEN '[tool_result]' || chr(10) || CASE WHEN json_type(b->'content') = 'VARCHAR' THEN (b->>'content') || chr(10) ELSE coalesce(told, '') END
+        WHEN role = 'user' AND b->>'type' = 'image' THEN '[Image Attached]' || chr(10) WHEN role = 'assistant' AND b->>'type' = 'thinking' THEN '[thinking]' || chr(10) || coalesce(b->>'thinking', '')
+        WHEN role = 'assistant' AND b->>'type' = 'tool_use' THEN '[' || (b->>'name') || ']' || chr(10) || coalesce(told, '') ELSE '' END FROM blocks LEFT JOIN told USING (pos, i)),
+    messages AS (SELECT 'proj' AS collection, 's1' AS session_id, pos, timestamp, role, trim(string_agg(part, '' ORDER BY i), ' ' || chr(9) || chr(10) || chr(13)) AS content FROM parts JOIN said USING (pos) GROUP BY ALL HAVING content <> '')"""
+
+
+@query(f"WITH {_PARSED} SELECT * FROM messages")
 def json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_lines(_transcript(spark))
 
@@ -436,7 +452,30 @@ def index_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexed_chunks(_messages(spark, sf_dir)).select("session_id", "turn_no", "chunk_no", "chunk_id", "type", F.size("dense").alias("n_dense"), F.size("sparse").alias("n_sparse"))
 
 
-@query()
+_RETRIEVED = f"""c AS (SELECT session_id, turn_no, sha256('conversations:' || session_id || ':' || turn_no) AS id, string_agg({_LINE}, '' ORDER BY msg_no) AS text FROM n GROUP BY ALL),
+    a AS (SELECT conv_id || ':' || turn AS qid, coalesce(text, '') AS text FROM conversations WHERE role = 'user' AND conv_id % {EVERY} = 0),
+    x AS (SELECT 'p' AS side, id AS k, text FROM c UNION ALL SELECT 'q', qid, text FROM a),
+    t AS MATERIALIZED (SELECT side, k, unnest({_TOKENS.format("text")}) AS t FROM x),
+    h AS MATERIALIZED (SELECT side, k, ('0x' || substr(md5(t), 1, 8))::BIGINT & 2147483647 AS h FROM t),
+    w AS MATERIALIZED (SELECT side, k, h, ln(1 + count(*))::FLOAT::DOUBLE AS w FROM h GROUP BY ALL),
+    e AS (SELECT side, k, h AS part, 256 AS width FROM h UNION ALL SELECT side, k, h >> 7, 1024 FROM h),
+    g AS (SELECT side, k, part % width AS i, sum(CASE WHEN (part // width) % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM e GROUP BY ALL),
+    l AS (SELECT side, k, sqrt(sum(v * v)) AS n FROM g GROUP BY ALL),
+    d AS MATERIALIZED (SELECT side, k, i, (v / n)::FLOAT::DOUBLE AS v FROM g JOIN l USING (side, k) WHERE n > 0),
+    z AS (SELECT side, k, sqrt(sum(v * v) FILTER (i < 256)) AS short, sqrt(sum(v * v)) AS long FROM d GROUP BY ALL),
+    dot AS MATERIALIZED (SELECT q.k AS qid, p.k AS id, sum(q.v * p.v) FILTER (q.i < 256) AS short, sum(q.v * p.v) AS long FROM d q JOIN d p ON q.i = p.i AND q.side = 'q' AND p.side = 'p' GROUP BY ALL),
+    every AS (SELECT a.k AS qid, b.k AS id, round(coalesce(dot.short / (a.short * b.short), 0), 9) AS short, round(coalesce(dot.long / (a.long * b.long), 0), 9) AS long FROM z a JOIN z b ON a.side = 'q' AND b.side = 'p' LEFT JOIN dot ON dot.qid = a.k AND dot.id = b.k),
+    coarse AS ({_top("SELECT qid, id, short AS score FROM every", search.SHORT_FACTOR * LIMIT)}),
+    dense AS ({_top("SELECT qid, id, long AS score FROM every WHERE (qid, id) IN (SELECT (qid, id) FROM coarse)", search.LONG_FACTOR * LIMIT)}),
+    sparse AS ({_top("SELECT q.k AS qid, p.k AS id, round(sum(q.w * p.w), 9) AS score FROM w q JOIN w p ON q.h = p.h AND q.side = 'q' AND p.side = 'p' GROUP BY ALL", search.LONG_FACTOR * LIMIT)}),
+    fused AS ({_top(f"SELECT qid, id, round(sum(1.0::DOUBLE / ({search.RRF_K} + pos)), 9) AS score FROM (SELECT qid, id, pos FROM dense UNION ALL SELECT qid, id, pos FROM sparse) GROUP BY qid, id", LIMIT)}),
+    u AS (SELECT DISTINCT * FROM t),
+    shares AS (SELECT qid, id, pos, (SELECT count(*) FROM u q JOIN u p USING (t) WHERE q.side = 'q' AND p.side = 'p' AND q.k = qid AND p.k = id)::DOUBLE / (SELECT count(*) FROM u WHERE side = 'q' AND k = qid) AS share FROM fused),
+    ranks AS (SELECT qid, id, row_number() OVER r AS rn, coalesce(lag(share) OVER r - share, 0) > {rerank.DROP} AS fall FROM shares WINDOW r AS (PARTITION BY qid ORDER BY share DESC, pos)),
+    kept AS (SELECT qid, id, rn, max(fall::INT) OVER (PARTITION BY qid ORDER BY rn ROWS UNBOUNDED PRECEDING) AS fallen FROM ranks)"""
+
+
+@query(f"WITH {_MESSAGES.replace('t AS (', 'turned AS (').replace('FROM t)', 'FROM turned)')}, {_RETRIEVED} SELECT qid, id AS chunk_id, rn - 1 AS ord, 'seed' AS via FROM kept WHERE rn <= {rerank.LEAST} OR fallen = 0")
 def retrieve_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every prompt of the conversations whose id is divisible by EVERY: what the index of all conversations gives."""
     kept = store.ChunkStore(spark, _folder(spark, "chunks"))

@@ -43,6 +43,15 @@ def test_writing_again_changes_nothing(spark, store):
     assert store.fetch(None, {}, 3).count() == 3
 
 
+def test_counts_and_stats(spark, store, tmp_path):
+    small = HashingEmbedder(64)
+    n = index(_messages(spark, transcript_lines()), store, 0, embedder=small)
+    assert n == store.points().count() > 0
+    assert store.get_stats("proj") == {"collection": "proj", "total_points": n, "status": "green"}
+    assert store.get_stats("other") == {"collection": "other", "total_points": 0, "status": "green"}
+    assert set(ChunkStore(spark, str(tmp_path / "none")).get_stats("proj")) == {"collection", "error"}
+
+
 def test_newest_turn_only(spark, store):
     index(_messages(spark, transcript_lines()), store, 0, embedder=HashingEmbedder(64), newest_only=True)
     assert {r.turn_no for r in store.points().select("turn_no").collect()} == {3}
