@@ -317,11 +317,48 @@ def test_long_and_repeated_documents(spark):
     assert Counter((r.doc_id, r.piece, r.piece_start, r.n_tokens) for r in rows) == Counter({(1, 0, 0, 8192): 2, (1, 1, 8192, 8192): 2, (1, 2, 16384, 3616): 2, (2, 0, 0, 1): 1})
 
 
+def packed_naively(lengths, sizes):
+    """Best fit over all open bins, each looked at for each length; the least net cost over all sizes opens one."""
+    left, bins, out = list(lengths), [], {}
+    costs = {c: packing.cost(c, sizes) for c in sizes}
+    unit = costs[max(sizes)] / max(sizes)
+    for turn, i in enumerate(sorted(range(len(lengths)), key=lambda i: -lengths[i])):
+        n = lengths[i]
+        left.remove(n)
+        fits = [b for b in bins if b["room"] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (b["room"], -b["turn"]))
+        else:
+            net = {c: costs[c] - unit * min(c - n, sum(x for x in left if x <= c - n)) for c in sizes if c >= n}
+            size = min(net, key=lambda c: (round(net[c], 6), c))
+            b = {"room": size, "used": 0, "number": len(bins)}
+            bins.append(b)
+        out[i] = (b["number"], b["used"])
+        b["used"] += n
+        b["room"] -= n
+        b["turn"] = turn
+    final = [min(c for c in sizes if c >= b["used"]) for b in bins]
+    return [(*out[i], final[out[i][0]]) for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_equals_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    sizes = (8, 16, 32, 64) if seed % 2 else packing.CAPACITIES
+    lengths = rng.integers(1, max(sizes) + 1, 150) if seed < 3 else np.minimum(rng.geometric(6 / max(sizes), 150), max(sizes))
+    got = packing.pack(lengths, sizes)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == packed_naively(lengths.tolist(), sizes)
+
+
 def test_packing_is_tight():
     lengths = np.random.default_rng(2).integers(1, 3000, 4000)
     bins, _, capacity = packing.pack(lengths)
     caps = dict(zip(bins.tolist(), capacity.tolist(), strict=True))
     assert lengths.sum() / sum(caps.values()) > 0.995
+    many = np.random.default_rng(3).integers(1, 3000, 60_000)
+    room = lambda x: sum(dict(zip(*(v.tolist() for v in packing.pack(x)[::2]), strict=True)).values())
+    apart = sum(room(many[a : a + 4000]) for a in range(0, len(many), 4000))
+    assert apart <= 1.01 * room(many)  # what windows lose
     assert packing.pack(np.zeros(0, np.int64))[0].tolist() == []
     assert packing.pack(np.array([8192, 1]))[2].tolist() == [8192, 512]
 

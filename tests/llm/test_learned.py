@@ -160,6 +160,30 @@ def test_quality_features_match_a_loop():
         assert len(own[1][0]) == max(0, n - 2)
 
 
+def test_quality_scores_equal_plain_means():
+    """Scores by the means of the weights of words, pairs and n-grams, one after the other."""
+    import pyarrow as pa
+
+    from parlance.llm.common import text_buffers
+
+    rng = np.random.default_rng(5)
+    model = quality.QualityModel(rng.normal(size=quality.WORD_BUCKETS), rng.normal(size=quality.GRAM_BUCKETS), 1.7, -0.3)
+    alone = lambda x: quality.buckets(np.frombuffer(x, np.uint8), np.array([0, len(x)]))
+    vocabulary = ["the", "a", "élan", "漢字", "x1", "word", "word", "\u00a0"]
+    texts = ["", " ", "a", "the the", *("".join(rng.choice(vocabulary) + str(rng.choice([" ", "\n", "  "])) for _ in range(n)) for n in (1, 2, 5, 40, 300))]
+    got = model.score(pa.array([*texts, None]))
+    for text, score in zip([*texts, ""], got, strict=True):
+        raw = text.encode()
+        words = re.findall(rb"[^\x00-\x20]+", raw)
+        parts = []
+        for k, w in enumerate(words):
+            parts.append(model.words[alone(w)[0][0][0]])
+            parts.append(model.words[alone(words[k - 1] + b" " + w)[0][0][3] if k else 0])
+        grams = [model.grams[alone(raw[k : k + 3])[1][0][0]] for k in range(len(raw) - 2)]
+        z = ((np.mean(parts) if parts else 0) + (np.mean(grams) if grams else 0)) / 2
+        assert np.isclose(score, 1 / (1 + np.exp(-(1.7 * z - 0.3)))), text
+
+
 # secrets
 
 
