@@ -1,15 +1,16 @@
 """Line dedup: repeated runs of lines, found by distributed prefix doubling over line-ID sequences.
 
-A document is the sequence of its non-blank lines. At depth 1 a line's class is named by the first
-place (document, line) of an equal line; at depth 2L a block's class is named by the first place
-with the same pair of classes at depth L. These names are the suffix array's ranks, kept as classes:
-all places with one name are an LCP interval, the suffixes that share their first L lines. Classes
-with one member leave at once, and with them every longer block at that place.
+A document is the sequence of its non-blank lines, each with the rank of its ID (two hashes) among the lines that
+occur more than once. At depth 2L a block's rank is that of its pair of ranks at depth L, so ranks are in the order
+of the line-ID sequences: the suffix array over all documents, sorted to that depth. It is sorted by ranges, and a
+rank is the number of the range and the place in it, which no single task has to count. All places with one
+rank are an interval of the suffix array whose longest common prefix is at least the block. Intervals with one
+place leave at once, and with them every longer block at that place.
 
 A run counts if it holds at least `min_words` words and occurs before: in an earlier document
 (order: key, nulls first, then a hash of the text) or further up in the same one. It is enough to
 look at the runs that just reach `min_words`, from each line on and back from each line: their
-union is the union of the maximal repeated runs. A run of L lines, 2^k < L <= 2^(k+1), is named by
+union is the union of the maximal repeated runs. A run of L lines, 2^k < L <= 2^(k+1), is ranked by
 the pair of its first and last 2^k lines. Words are runs of characters that are no white space, so the depths
 end at min_words lines, however long texts are; only lines of other white space than blanks, which count as
 lines without words, can make a run longer, and depths go on until none is left.
@@ -24,6 +25,9 @@ rows, so a very long one is bounded by the size of a row only. An empty table gi
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,14 +54,15 @@ def _place() -> Column:
     return F.struct("d", "h", "i")
 
 
-def _named(blocks: DataFrame, by: list[str], places: DataFrame | None = None) -> DataFrame:
-    """Adds `name`, the first place of the block's class, and drops classes with one place.
+def _ranked(blocks: DataFrame, by: list[str], places: DataFrame | None = None) -> DataFrame:
+    """Adds `rank`, the place of the block's interval in the order of `by`, and `later` (the interval has an earlier place); drops intervals with one place.
 
-    The classes are written before the join: with no aggregate between shuffle and join, Spark can split
-    the partition of a line that a large share of all documents holds. `places` are the blocks without what names don't need.
+    The intervals are written before the join: with no aggregate between shuffle and join, Spark can split
+    the partition of a line that a large share of all documents holds. `places` are the blocks without what ranks don't need.
     """
-    classes = (blocks if places is None else places).groupBy(*by).agg(F.min(_place()).alias("name"), F.max(_place()).alias("last")).where("name != last").drop("last").checkpoint()
-    return blocks.join(classes, by)
+    intervals = (blocks if places is None else places).groupBy(*by).agg(F.min(_place()).alias("first"), F.max(_place()).alias("last")).where("first != last").drop("last").checkpoint()
+    ranks = intervals.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()).checkpoint()
+    return blocks.join(ranks, by).withColumn("later", F.col("first") != _place()).drop("first")
 
 
 def _runs(numbers: np.ndarray, words: np.ndarray, least: int) -> set[tuple[int, int]]:
@@ -76,9 +81,9 @@ def _runs(numbers: np.ndarray, words: np.ndarray, least: int) -> set[tuple[int,
 
 
 def _step(depth: int, least: int):
-    """From the blocks of `depth` lines of each document to the pairs that name blocks of up to 2 * depth lines.
+    """From the blocks of `depth` lines of each document to the pairs of ranks of blocks of up to 2 * depth lines.
 
-    in: d, h, blocks: array of (i, name, w, wants, reach). out: pairs to be named, and (`size` 0) those of one line that are found already.
+    in: d, h, blocks: array of (i, rank, later, w, wants, reach). out: pairs to be ranked, and runs of one line, which are ranked already.
     """
 
     def run(batches):
@@ -90,7 +95,7 @@ def _step(depth: int, least: int):
             words = np.asarray(flat.field("w"))
             reach_in = np.asarray(flat.field("reach"))
             wants_in = flat.field("wants").to_pylist() if depth > 1 else None
-            first_of = flat.field("name")
+            rank, is_later = flat.field("rank"), flat.field("later")
             left, right, doc, size, wants, reach, is_run, at = [], [], [], [], [], [], [], []
             for k in range(len(rows)):
                 a, b = starts[k], starts[k + 1]
@@ -123,37 +128,42 @@ def _step(depth: int, least: int):
                             reach.append(int(ends[s]) if n == 2 * depth and i + n <= ends[s] else 0), is_run.append(n in here), at.append(i)
             take = pa.array(doc, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(size, pa.int32()), first_of.take(pa.array(left, pa.int64())), first_of.take(pa.array(right, pa.int64())), pa.array(wants, pa.list_(pa.int32())), pa.array(reach, pa.int32()), pa.array(is_run, pa.bool_())],
-                ["d", "h", "i", "size", "left", "right", "wants", "reach", "is_run"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(at, pa.int32()), pa.array(size, pa.int32()), rank.take(pa.array(left, pa.int64())), rank.take(pa.array(right, pa.int64())), is_later.take(pa.array(left, pa.int64())), pa.array(wants, pa.list_(pa.int32())), pa.array(reach, pa.int32()), pa.array(is_run, pa.bool_())],
+                ["d", "h", "i", "size", "left", "right", "later", "wants", "reach", "is_run"],
             )
 
     return run
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """d (the key), h (hash of the text), i (non-blank line), size: every later copy of a run that just reaches min_words words."""
+def ranked_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> Iterator[DataFrame]:
+    """The rounds of prefix doubling. Each gives d (the key), h (hash of the text), i (non-blank line), size (lines), rank, later and is_run (just reaches min_words) of the blocks that occur more than once."""
     spark = docs.sparkSession
     small_batches(spark, 256)
     shared_folder(spark)
     kind = docs.schema[key].dataType.simpleString()
-    place = f"struct<d:{kind},h:bigint,i:int>"
-    state = _named(_lines(docs, key, text), ["a", "b"], _lines(docs, key, text, count=False)).select("d", "h", "i", "name", "w", F.array().cast("array<int>").alias("wants"), F.lit(0).alias("reach")).checkpoint()
-    found = None
+    given = ["d", "h", "i", "size", "rank", "later", "is_run"]
+    lines = _ranked(_lines(docs, key, text), ["a", "b"], _lines(docs, key, text, count=False))
+    state = lines.select("d", "h", "i", "rank", "later", "w", F.array().cast("array<int>").alias("wants"), F.lit(0).alias("reach")).checkpoint()
     depth = 1
     while True:
-        whole = state.groupBy("d", "h").agg(F.collect_set(F.struct("i", "name", "w", "wants", "reach")).alias("blocks"))
-        pairs = whole.mapInArrow(_step(depth, min_words), f"d {kind}, h long, i int, size int, left {place}, right {place}, wants array<int>, reach int, is_run boolean")
-        pairs = pairs.checkpoint() if depth == 1 else pairs
-        named = _named(pairs.where("size > 1"), ["size", "left", "right"]).checkpoint()
-        later = named.where(F.col("is_run") & (F.col("name") != _place())).select("d", "h", "i", "size")
+        whole = state.groupBy("d", "h").agg(F.collect_set(F.struct("i", "rank", "later", "w", "wants", "reach")).alias("blocks"))
+        pairs = whole.mapInArrow(_step(depth, min_words), f"d {kind}, h long, i int, size int, left long, right long, later boolean, wants array<int>, reach int, is_run boolean")
         if depth == 1:
-            found = pairs.where((F.col("size") == 1) & (F.col("left") != _place())).select("d", "h", "i", "size")
-        found = found.unionAll(later)
+            pairs = pairs.checkpoint()
+            yield pairs.where("size = 1").withColumnRenamed("left", "rank").select(*given)
+        ranked = _ranked(pairs.where("size > 1").drop("later"), ["size", "left", "right"]).checkpoint()
+        yield ranked.select(*given)
         depth *= 2
-        state = named.where((F.col("size") == depth) & (F.col("reach") > 0)).select("d", "h", "i", "name", F.lit(0).alias("w"), "wants", "reach")
+        state = ranked.where((F.col("size") == depth) & (F.col("reach") > 0)).select("d", "h", "i", "rank", "later", F.lit(0).alias("w"), "wants", "reach")
         release(spark)
         if state.isEmpty():
-            return found
+            return
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """d (the key), h (hash of the text), i (non-blank line), size: every later copy of a run that just reaches min_words words."""
+    rounds = [blocks.where("is_run AND later").select("d", "h", "i", "size") for blocks in ranked_blocks(docs, key, text, min_words)]
+    return functools.reduce(DataFrame.unionAll, rounds)
 
 
 def _without(text: str, runs: list) -> tuple[str, int]:

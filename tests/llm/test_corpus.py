@@ -165,6 +165,30 @@ def test_line_dedup_equals_brute_force(spark, least):
     assert left.count() == sum(not (d and d == n) for _, n, d in (want[k, t] for k, t in rows))
 
 
+def test_ranks_are_a_suffix_array(spark):
+    rng = random.Random(5)
+    rows = [(k, "\n".join(rng.choice("ab" if k % 3 else "abc") for _ in range(rng.randrange(30)))) for k in range(25)] + [(100, "a\n" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = {x: tuple(spark.range(1).select(F.xxhash64(F.lit(x)), F.xxhash64(F.lit(7), F.lit(x))).first()) for x in "abc"}
+    parts = {k: [ids[x] for x in t.split("\n") if x] for k, t in rows}
+    places = [(k, i) for k in sorted(parts) for i in range(len(parts[k]))]
+    sizes = set()
+    for blocks in lines.ranked_blocks(df, min_words=9):
+        got = [(r.size, r.rank, (r.d, r.i), r.later) for r in blocks.collect()]
+        for size in {g[0] for g in got}:
+            of = lambda place: tuple(parts[place[0]][place[1] : place[1] + size])
+            mine = sorted((rank, of(place)) for s, rank, place, _ in got if s == size)
+            assert [x for _, x in mine] == sorted(x for _, x in mine)  # in the order of the line IDs
+            assert len({x for _, x in mine}) == len({r for r, _ in mine}) == len(set(mine))  # one rank, one interval
+            sizes.add(size)
+    assert sizes == {2, 4, 8, 9}
+    first = {}
+    for place in places:
+        first.setdefault(of(place), place)
+    runs = {place: later for size, _, place, later in got if size == 9}  # the last round's blocks are the runs that reach nine words
+    assert runs == {x: first[of(x)] != x for x in places if len(of(x)) == 9 and sum(of(x) == of(y) for y in places) > 1}
+
+
 @pytest.mark.parametrize("blank", ["\t", "\u00a0", "\u3000", "  ", " \t "])
 def test_line_dedup_counts_words(spark, blank):
     said = lambda name, *sizes: "\n".join(blank.join(f"{name}{k}x{i}" for i in range(n)) for k, n in enumerate(sizes))
