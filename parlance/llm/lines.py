@@ -36,16 +36,22 @@ from pyspark.sql import functions as F
 from .common import free_names, release, shared_folder, small_batches, table
 
 MIN_WORDS = 25
-#: Characters with Unicode's property White_Space that can stand in a line, other than the blank.
+#: Characters with Unicode's property White_Space that can stand in a line, other than the blank; first those of one byte.
 _SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _words(line: Column) -> Column:
+    """Runs of characters that are no white space. Most lines part them by single blanks and are not taken apart: their blanks are counted."""
+    bare = F.trim(line)
+    odd = functools.reduce(Column.__or__, (F.contains(bare, F.lit(x)) for x in ("  ", *_SPACES[:4]))) | ((F.octet_length(bare) != F.length(bare)) & bare.rlike(f"[{_SPACES}]"))
+    apart = F.size(F.array_remove(F.split(F.translate(bare, _SPACES, " " * len(_SPACES)), " "), ""))
+    return F.when(odd, apart).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+
+
 def _lines(docs: DataFrame, key: str, text: str, count: bool = True) -> DataFrame:
     """One row for each non-blank line: key, h (hash of the text), i (number among non-blank lines), two hashes, words (0 without count)."""
     lines = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.trim(x)) > 0)
-    blanks = lambda x: F.when(x.rlike(f"[{_SPACES}]"), F.translate(x, _SPACES, " " * len(_SPACES))).otherwise(x)
-    words = lambda x: F.size(F.array_remove(F.split(blanks(x), " "), ""))
-    facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (words(x) if count else F.lit(0)).alias("w")))
+    facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), (_words(x) if count else F.lit(0)).alias("w")))
     rows = docs.select(F.col(f"`{key}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("h"), F.posexplode(facts).alias("i", "f"))
     return rows.select("d", "h", "i", "f.a", "f.b", "f.w")
 

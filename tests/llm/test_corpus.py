@@ -201,6 +201,14 @@ def test_line_dedup_counts_words(spark, blank):
     assert got == {k: (t.split("\n")[0] if k in gone else t, gone.get(k, 0)) for k, t in rows}
 
 
+def test_words_of_lines(spark):
+    rng = random.Random(3)
+    rows = ["".join(rng.choice(" ab\u00e9" + lines._SPACES if k % 2 else "  ab\u00e9") for _ in range(rng.randrange(1, 20))) for k in range(600)] + ["a", " a ", "\t", "a\u0085b", "a\u200bb", "\U0001f600 \U0001f600"]
+    rows = [x for x in rows if x.strip(" ")]
+    got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", lines._words(F.col("x")).alias("n")).collect()
+    assert [(r.x, r.n) for r in got] == [(x, len(re.findall(f"[^ {lines._SPACES}]+", x))) for x in rows]
+
+
 def test_line_dedup_query(spark, small_dir, texts):
     hashes = {(r.doc_id, r.text): r.x for r in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", F.xxhash64("text").alias("x")).collect()}
     want = without_copies([(k, hashes[k, t], t) for k, t in texts], lines.MIN_WORDS)
