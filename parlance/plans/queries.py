@@ -18,7 +18,7 @@ from parlance.plans.retrieve import retrieve
 from parlance.sources import store
 from parlance.sources.tables import conversation_messages, shared_folder, spread, table
 from parlance.sources.transcripts import EVENT_NAMES, parse_events, rejected, route
-from parlance.streaming.events import pending_pairs, run_available
+from parlance.streaming.events import distinct_events, pending_pairs, run_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,5 +502,15 @@ def stream_pending_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("session_id string, prompt_id long, prompt string, stop_id long").parquet(f"{folder}/rows")
 
 
+@query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_id) AS rn FROM events) WHERE rn = 1")
+def stream_distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events come twice; each goes on once."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").select("event_id", "ts", "user_id", "event_type", "value")
+    folder = _folder(spark, "distinct")
+    run_available(distinct_events(events.unionAll(events).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"]).drop("ts"), f"{folder}/rows", f"{folder}/state")
+    return spark.read.schema("event_id long, user_id long, event_type string, value double").parquet(f"{folder}/rows")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged_dense_topk(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Hook events as streams: incremental indexing, answers, and pending prompts as keyed state."""
 
+import logging
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from parlance.operators.parsing import parse_lines
 from parlance.plans.index import index
 from parlance.plans.retrieve import answers
 from parlance.sources.store import ChunkStore
-from parlance.sources.transcripts import parse_events, read_lines, route
+from parlance.sources.transcripts import parse_events, read_lines, rejected, route
+from parlance.streaming.log import LOGGER
 
 
 def read_events(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
@@ -18,10 +20,26 @@ def read_events(spark: SparkSession, folder: str, per_trigger: int = 100) -> Dat
     return parse_events(spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder))
 
 
+def distinct_events(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
+    """Events whose `keys` no event up to `late` before them had. The state is one row for each key until the watermark passes it.
+
+    For events with ids of their own. Hook events have none, and equal ones may be meant: for them the store's key is what keeps chunks single.
+    """
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def _log_events(events: DataFrame, batch_id: int) -> None:
+    for r in events.groupBy("hook_event_name").count().orderBy(F.desc("count"), "hook_event_name").limit(20).collect():
+        LOGGER.info("batch %d: %d of %s", batch_id, r["count"], r.hook_event_name)
+    for r in rejected(events).groupBy("reason").count().collect():
+        LOGGER.warning("batch %d: %d left out, %s", batch_id, r["count"], r.reason)
+
+
 def handle_batch(store: ChunkStore, answers_path: str | None = None, **options):
     """A foreachBatch function: Stop indexes the newest turn, SessionEnd the whole transcript, UserPromptSubmit is answered.
 
-    The batch number is the store's batch_id, so a batch that runs again writes what it wrote before.
+    The batch number is the store's batch_id, so a batch that runs again writes what it wrote before. Events are
+    counted for the log where there is one; an error is logged and ends the stream, which then runs the batch again.
     """
     embedder, model, scorer = options.pop("embedder", None), options.pop("model", None), options.pop("scorer", None)
 
@@ -29,6 +47,8 @@ def handle_batch(store: ChunkStore, answers_path: str | None = None, **options):
         spark = batch.sparkSession
         events = batch.dropDuplicates().persist()
         try:
+            if LOGGER.hasHandlers() and LOGGER.isEnabledFor(logging.INFO):
+                _log_events(events, batch_id)
             for name, newest in (("SessionEnd", False), ("Stop", True)):
                 # one path for each event of this micro-batch, whose size the trigger bounds
                 paths = [r.transcript_path for r in route(events, name).select("transcript_path").distinct().collect()]
@@ -37,6 +57,9 @@ def handle_batch(store: ChunkStore, answers_path: str | None = None, **options):
             prompts = route(events, "UserPromptSubmit").select(F.concat_ws(":", "session_id", F.xxhash64("prompt")).alias("qid"), "collection", "prompt").dropDuplicates(["qid"])
             if answers_path and not prompts.isEmpty():
                 answers(store.points(), prompts, embedder=embedder, scorer=scorer, **options).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(answers_path)
+        except Exception:
+            LOGGER.exception("batch %d failed", batch_id)
+            raise
         finally:
             events.unpersist()
 

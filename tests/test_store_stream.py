@@ -11,7 +11,8 @@ from parlance.plans.index import index
 from parlance.plans.queries import QUERIES, transcript_lines
 from parlance.plans.retrieve import answers, retrieve
 from parlance.sources.store import ChunkStore, last_write, match, payload, where
-from parlance.streaming.events import handle_batch, pending_pairs, read_events, run_available
+from parlance.streaming.events import distinct_events, handle_batch, pending_pairs, read_events, run_available
+from parlance.streaming.log import LOGGER, log_streams, log_to
 
 
 def _messages(spark, lines, session="s1"):
@@ -113,6 +114,52 @@ def test_pending_prompts_over_batches(spark, tmp_path):
     assert got == [("a", 3, "p3", 4), ("b", 6, "p6", 7)]
 
 
+def test_repeated_events(spark, tmp_path):
+    source, kinds = tmp_path / "in", "id long, ts timestamp"
+    for seconds in ([(1, 0), (1, 0), (2, 60)], [(1, 120), (3, 120)], [(4, 90_000)], [(1, 90_060), (4, 90_060)]):
+        spark.createDataFrame([(i, None) for i, _ in seconds], kinds).join(spark.createDataFrame(list(set(seconds)), "id long, s long"), "id").select("id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(source))
+        run_available(distinct_events(spark.readStream.schema(kinds).parquet(str(source)), ["id"]), str(tmp_path / "out"), str(tmp_path / "check"))
+    # the last event 1 comes a day after the watermark let the first one go
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 1, 2, 3, 4]
+
+
+def test_repeated_events_before_pairs(spark, tmp_path):
+    source, kinds = tmp_path / "in", "session_id string, kind string, event_id long, ts timestamp, prompt string"
+    for rows in ([("a", "prompt", 1, "p1"), ("a", "stop", 2, None)], [("a", "prompt", 1, "p1"), ("a", "stop", 3, None)]):
+        df = spark.createDataFrame([(s, k, i, None, p) for s, k, i, p in rows], kinds).withColumn("ts", F.timestamp_seconds("event_id"))
+        df.coalesce(1).write.mode("append").parquet(str(source))
+        events = distinct_events(spark.readStream.schema(kinds).parquet(str(source)), ["event_id"])
+        run_available(pending_pairs(events), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 1, "p1", 2)]
+
+
+def test_log(spark, store, tmp_path):
+    path, events = tmp_path / "logs" / "engine.log", tmp_path / "events"
+    events.mkdir()
+    said = [{"hook_event_name": "UserPromptSubmit", "session_id": "s1", "transcript_path": "/p/s1.jsonl", "prompt": "x"}, {"hook_event_name": "Odd", "session_id": "s1"}]
+    (events / "1.json").write_text("\n".join(map(json.dumps, said)))
+    handler, listener = log_to(str(path)), log_streams(spark)
+    assert log_to(str(path)) is handler
+    try:
+        for broken in (False, True):
+            run = handle_batch(store, str(tmp_path / "answers"), embedder=(lambda texts: 1 / 0) if broken else HashingEmbedder(256), short=64)
+            q = read_events(spark, str(events)).writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / f"c{broken}")).trigger(availableNow=True).start()
+            if broken:
+                with pytest.raises(Exception):
+                    q.awaitTermination()
+            else:
+                q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(listener)
+        LOGGER.removeHandler(handler)
+        handler.close()
+    said = path.read_text()
+    assert "batch 0: 1 of UserPromptSubmit" in said and "batch 0: 1 left out, unknown event" in said
+    assert "batch 0 failed" in said and "Traceback" in said
+    assert "started" in said and "2 rows in" in said
+
+
 @pytest.mark.parametrize("name", ["code_chunks", "index_conversations", "retrieve_contexts", "json_parse"])
 def test_whole_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
