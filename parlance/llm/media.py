@@ -8,7 +8,9 @@ by side in numpy. Images with other tables, AC coefficients, several components
 intervals go through `decode_any`, which decodes them block by block.
 
 Null text counts as empty; an empty text is stored as one row of 192 blanks. A text of more than
-192 * 8191 bytes takes several images in a row, as a JPEG is at most 65,535 pixels high.
+192 * 8191 bytes takes several images in a row, as a JPEG is at most 65,535 pixels high. Very long
+texts are coded and decoded in parts. Equal texts, and so repeated rows, get equal values; an empty table
+gives an empty result. Only the key and the text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import pieces, small_batches, table, text_buffers
 
 ROW = 192
 MOST_ROWS = 8191
+#: Rows that are coded, and stored bytes that are decoded (or one longer image), at a time: a byte takes some 60 in between.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2048, 1 << 19
 #: Code lengths of the DC categories 0 to 8; letters and blanks differ mostly by categories 3, 4, 6 and 7.
 DC_LENGTHS = (4, 4, 4, 3, 3, 4, 3, 2, 5)
 
@@ -126,8 +130,9 @@ def encode(raw: np.ndarray, bounds: np.ndarray) -> list[bytes]:
         payload = np.full(start[-1] * ROW, 32, np.uint8)
         for i in range(b - a):
             payload[start[i] * ROW : start[i] * ROW + sizes[i]] = raw[bounds[a + i] : bounds[a + i + 1]]
-        data, at = _scans(payload)
-        data = data.tobytes()
+        coded = [_scans(payload[k * ROW : (k + ROWS_AT_ONCE) * ROW]) for k in range(0, int(start[-1]), ROWS_AT_ONCE)]
+        data = b"".join(x.tobytes() for x, _ in coded)
+        at = np.r_[0, np.cumsum(np.concatenate([np.diff(x) for _, x in coded]))]
         for i in range(b - a):
             parts, lane = [], int(start[i])
             while lane < start[i + 1]:
@@ -319,12 +324,14 @@ def decode(stored: list[bytes]) -> list[list[np.ndarray]]:
         base += len(data)
     flat = np.frombuffer(b"".join(stored), np.uint8)
     for (dc, width, step), images in groups.items():
-        values = _lanes(flat, [x[2] for x in images], [x[3] for x in images], [x[4] for x in images], *dc, width)
-        pixels = np.clip((values * step + 4) // 8 + 128, 0, 255).astype(np.uint8)
-        row = 0
-        for n, k, _, _, rows in images:
-            found[n][k] = pixels[row : row + rows]
-            row += rows
+        for a, b in pieces(np.array([*(x[2] for x in images), images[-1][3]]), BYTES_AT_ONCE):
+            part, low = images[a:b], images[a][2]
+            values = _lanes(flat[low : part[-1][3]], [x[2] - low for x in part], [x[3] - low for x in part], [x[4] for x in part], *dc, width)
+            pixels = np.clip((values * step + 4) // 8 + 128, 0, 255).astype(np.uint8)
+            row = 0
+            for n, k, _, _, rows in part:
+                found[n][k] = pixels[row : row + rows]
+                row += rows
     return found
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import re
 import zlib
 from collections import Counter
@@ -518,6 +519,22 @@ def test_stored_form_is_a_jpeg():
         media.parse(b"not an image")
 
 
+def test_memory_of_long_media():
+    size = 10_000_000
+    args = text_buffers(pa.array(["", "xyz w" * (size // 5), "short"]))
+    tracemalloc.start()
+    stored = media.encode(*args)
+    coding = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    images = media.decode(stored)
+    decoding = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(coding, decoding) < 50_000_000 + 5 * size
+    payload = b"".join(x.tobytes() for x in images[1])
+    assert payload.rstrip(b" ") == ("xyz w" * (size // 5)).encode() and len(images[1]) == -(-size // (192 * media.MOST_ROWS))
+    assert [len(x) for x in (images[0], images[2])] == [1, 1]
+
+
 def test_other_baseline_images():
     """An image with three components, two by two luminance blocks, AC coefficients and no restart intervals."""
     counts, order, code = media.canonical(dict(enumerate(media.DC_LENGTHS)))
