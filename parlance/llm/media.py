@@ -226,12 +226,13 @@ def _lanes(data: np.ndarray, starts: list[int], ends: list[int], rows: list[int]
     marker = follows & (data >= 0xD0) & (data <= 0xD7)
     keep = inside & ~(follows & (data == 0)) & ~marker
     keep[np.flatnonzero(marker) - 1] = False
-    kept_before = np.r_[0, np.cumsum(keep)]
+    kept_before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=kept_before[1:])
     begins = np.sort(np.r_[np.asarray(starts, np.int64), np.flatnonzero(marker) + 1])
     if len(begins) != sum(rows):
         raise ValueError("restart intervals are missing")
     place = kept_before[begins] * 8
-    clean = np.r_[data[keep], np.zeros(4, np.uint8)].astype(np.int64)
+    clean = np.r_[data[keep], np.zeros(4, np.uint8)].astype(np.int32)
     words = clean[:-2] << 16 | clean[1:-1] << 8 | clean[2:]
     table_ = _lookup(counts, symbols)
     out = np.empty((width, len(begins)), np.int32)
@@ -241,7 +242,7 @@ def _lanes(data: np.ndarray, starts: list[int], ends: list[int], rows: list[int]
         place += found >> 16
     if not (words.size and (place <= np.r_[kept_before[begins[1:]], len(clean) - 4] * 8).all()):
         raise ValueError("a scan is broken")
-    return np.cumsum(out, axis=0).T
+    return np.cumsum(out, axis=0, dtype=np.int32, out=out).T
 
 
 def decode_any(data: bytes, image: dict) -> np.ndarray:
