@@ -31,7 +31,7 @@ How it stays exact and linear:
 
 Defined cases: null and empty texts, and texts without words, have 0 shingles and their own
 component. Rows that repeat key and text are one document. A null key is never the smallest id of a
-component that has others; alone, its component is null. Very long texts are read in pieces of bounded memory, and
+component that has others; alone, its component is null. Keys are integers or strings (the smallest by bytes). Very long texts are read in pieces of bounded memory, and
 their sets travel as one value each. An empty table gives an empty result. Columns of docs other than key
 and text are not looked at, whatever their names.
 """
@@ -168,9 +168,16 @@ def _schema(text: str) -> pa.Schema:
     return pa.schema([(n, _KIND[k]) for n, k in (x.split() for x in text.split(","))])
 
 
+def _key(docs: DataFrame, key: str) -> tuple[Column, str]:
+    """The key and its type: a string as it is, all else as a long."""
+    kind = "string" if docs.schema[key].dataType.simpleString() == "string" else "bigint"
+    return F.col(f"`{key}`").cast(kind), kind
+
+
 def _scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
     """Facts of every document (bucket -1) and, by bucket, the shingles of their prefixes."""
-    names = "flush bigint,bucket int,ordinal int,d bigint,h bigint,n bigint,s1 bigint,s2 bigint,known int,need int,marks binary,ordinals binary"
+    kind = _key(docs, key)[1]
+    names = f"flush bigint,bucket int,ordinal int,d {kind},h bigint,n bigint,s1 bigint,s2 bigint,known int,need int,marks binary,ordinals binary"
     schema = _schema(names)
 
     def run(batches):
@@ -198,7 +205,7 @@ def _scan(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
             if sent:
                 yield from _batch(sent, schema)
 
-    return docs.select(F.col(key).cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, names.replace(",", ", "))
+    return docs.select(_key(docs, key)[0].alias("d"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(run, names.replace(",", ", "))
 
 
 def _gather(batches, wide: str):
@@ -555,7 +562,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", links: bool =
     classes = judged.where("n > 0").groupBy("n", "s1", "s2").agg(F.count("*").alias("copies"), F.min("d").alias("least"), F.min(F.struct("d", "h")).alias("rep"), F.bool_or("may").alias("may")).checkpoint()
     release(spark)
     rep = classes.where("may").select(F.col("rep.d").alias("rep_d"), F.col("rep.h").alias("rep_h"))
-    held = docs.select(F.col(key).cast("bigint").alias("d"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    held = docs.select(_key(docs, key)[0].alias("d"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     if rep.count() <= BROADCAST_ROWS:
         rep = F.broadcast(rep)
     kept = held.join(rep, F.col("d").eqNullSafe(F.col("rep_d")) & (F.col("h") == F.col("rep_h")), "left_semi").dropDuplicates(["d", "h"])
@@ -585,7 +592,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     stay = found.groupBy(group.alias("g")).agg(F.min(rank).alias("k")).select(F.col("k.d").alias("stay_d"), F.col("k.h").alias("stay_h"))
     names = docs.columns
     own, sum_, stay_d, stay_h = free_names(names, "key", "hash", "stay_d", "stay_h")
-    held = docs.withColumns({own: F.col(f"`{key}`").cast("bigint"), sum_: F.xxhash64(f"`{text}`")})
+    held = docs.withColumns({own: _key(docs, key)[0], sum_: F.xxhash64(f"`{text}`")})
     both = held.join(stay.toDF(stay_d, stay_h), F.col(own).eqNullSafe(F.col(stay_d)) & (F.col(sum_) == F.col(stay_h)), "left_semi")
     return both.dropDuplicates([own, sum_]).select(*[F.col(f"`{c}`") for c in names])
 

@@ -88,6 +88,15 @@ def test_jaccard_equals_brute_force(spark, odd_rows, monkeypatch, seed):
     assert kept.count() == len({r[3] for r in grouped(rows)})
 
 
+def test_jaccard_of_string_keys(spark):
+    base = " ".join(f"w{k}" for k in range(40))
+    rows = [("b-2", base), ("b-10", f"{base} x"), ("c", "another text"), ("c", "another text"), (None, base), ("", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = Counter((r.d, r.component) for r in jaccard.join(df).select("d", "component").collect())
+    assert got == {("b-2", "b-10"): 1, ("b-10", "b-10"): 1, (None, "b-10"): 1, ("c", "c"): 2, ("", ""): 1}
+    assert sorted(map(tuple, jaccard.one_of_each(df).collect()), key=str) == sorted([("b-10", f"{base} x"), ("c", "another text"), ("", None)], key=str)
+
+
 def test_jaccard_equals_sql(spark, sf_dir):
     assert of_spark(QUERIES["op3_jaccard"](spark, sf_dir)) == of_sql(connect(sf_dir), JACCARD)
 
